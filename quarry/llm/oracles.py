@@ -12,12 +12,12 @@ m AS (
   SELECT rid, kind, ord, least, regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS w,
          regexp_extract_all(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2) AS g,
          string_split_regex(t, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS gap
-  FROM d, p WHERE kind = 'assign'
+  FROM d, p WHERE kind = 'assign' AND regexp_matches(lower(t), 'passw|secret|token|api_?key')
   UNION ALL
-  SELECT rid, kind, ord, least, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+')
+  SELECT rid, kind, ord, least, regexp_extract_all(t, 'AKIA[A-Z0-9]{14,}'), regexp_extract_all(t, 'AKIA[A-Z0-9]{14,}'), string_split_regex(t, 'AKIA[A-Z0-9]{14,}')
   FROM d, p WHERE kind = 'access'
   UNION ALL
-  SELECT rid, kind, ord, least, regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), string_split_regex(t, '[0-9a-f]+')
+  SELECT rid, kind, ord, least, regexp_extract_all(t, '[0-9a-f]{16,}'), regexp_extract_all(t, '[0-9a-f]{16,}'), string_split_regex(t, '[0-9a-f]{16,}')
   FROM d, p WHERE kind = 'hex'),
 x AS (SELECT rid, kind, ord, least, w, g, gap, unnest(range(1, len(w) + 1)) AS i FROM m WHERE len(w) > 0),
 y AS (SELECT rid, kind, ord, least, length(w[i]) AS n, length(g[i]) AS gn,
@@ -35,10 +35,11 @@ FROM d LEFT JOIN z USING (rid)
 OP8 = rf"""
 WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("text")}, '{_WORD}') AS w FROM benchmark WHERE text IS NOT NULL),
 g AS (SELECT item, least(len(w), 13) AS k, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i, w FROM b WHERE len(w) > 0),
-grams AS (SELECT DISTINCT item, k, w[i:i + k - 1] AS gram FROM g),
+grams AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM g),
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
-e AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
-places AS (SELECT DISTINCT rid, i, n.k, grams.item FROM e, (SELECT DISTINCT k FROM grams) n JOIN grams ON grams.k = n.k AND grams.gram = e.w[e.i:e.i + n.k - 1]),
+e AS (SELECT rid, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {{'i': i, 'gram': array_to_string(w[i:i + k - 1], ' ')}})) AS x
+      FROM d, (SELECT DISTINCT k FROM grams) n WHERE len(w) >= k),
+places AS (SELECT DISTINCT rid, x.i AS i, e.k, item FROM e JOIN grams ON grams.gram = e.x.gram AND grams.k = e.k),
 hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM places) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM places) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
@@ -47,5 +48,27 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+OP3 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, max(page_id) AS original FROM h WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id < original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < original THEN original END AS refers_to
+FROM h LEFT JOIN f USING (payload_digest)
+"""
+
+OP10 = rf"""
+WITH u AS (
+  SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                            ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS v(h, p, verdict)),
+m AS (SELECT page_id, max_by(h || p, len(h || p)) AS rule, max_by(verdict, len(h || p)) AS verdict
+      FROM u, r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN m USING (page_id)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op4_secrets": OP4, "op8_decontamination": OP8}
+    return {"op3_warc": OP3, "op4_secrets": OP4, "op8_decontamination": OP8, "op10_urlfilter": OP10}

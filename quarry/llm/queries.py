@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, mixing, secrets, simhash
-from quarry.session import fresh_path
+from quarry.llm import decontamination, mixing, secrets, simhash, urlfilter, warc
+from quarry.session import fresh_path, materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "archives")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.resolved(materialize(warc.read(spark, path), "records"))
+
+
+#: The contract's rules (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judge(_table(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_simhash, op4_secrets, op7_mixing, op8_decontamination]
+    found = [op2_simhash, op3_warc, op4_secrets, op7_mixing, op8_decontamination, op10_urlfilter]
     return {f.__name__: f for f in found}
