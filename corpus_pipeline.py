@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, mixing, secrets, simhash
+from quarry.llm import decontamination, langid, mixing, secrets, simhash
 from quarry.session import materialize
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go; the network learns from the labelled documents outside the held-out fold."""
+    return langid.keep_recognised(docs)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     return simhash.keep_first(docs)
@@ -32,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language", identify_language),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
     ("secrets", redact_secrets),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, mixing, secrets, simhash, urlfilter, warc
+from quarry.llm import decontamination, langid, mixing, secrets, simhash, urlfilter, warc
 from quarry.session import fresh_path, materialize
 
 
@@ -29,6 +29,13 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = langid.train(langid.sample(docs))
+    judged = langid.predict(docs.select("doc_id", "text"), net)
+    return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "judged.lang_pred", "judged.score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
@@ -56,5 +63,5 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_simhash, op3_warc, op4_secrets, op7_mixing, op8_decontamination, op10_urlfilter]
+    found = [op2_simhash, op3_warc, op4_secrets, op6_langid, op7_mixing, op8_decontamination, op10_urlfilter]
     return {f.__name__: f for f in found}
