@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontamination, langid, mixing, secrets, simhash, urlfilter, warc
+from quarry.llm import ann, decontamination, langid, mixing, secrets, simhash, urlfilter, warc
 from quarry.session import fresh_path, materialize
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(_table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -63,5 +68,5 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_simhash, op3_warc, op4_secrets, op6_langid, op7_mixing, op8_decontamination, op10_urlfilter]
+    found = [op1_multi_index, op2_simhash, op3_warc, op4_secrets, op6_langid, op7_mixing, op8_decontamination, op10_urlfilter]
     return {f.__name__: f for f in found}
