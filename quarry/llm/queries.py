@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, decontamination, langid, mixing, secrets, simhash, urlfilter, warc
+from quarry.llm import ann, decontamination, htmltext, langid, mixing, secrets, simhash, urlfilter, warc
 from quarry.session import fresh_path, materialize
 
 
@@ -34,6 +34,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def op5_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     net = langid.train(langid.sample(docs))
@@ -68,5 +72,5 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_multi_index, op2_simhash, op3_warc, op4_secrets, op6_langid, op7_mixing, op8_decontamination, op10_urlfilter]
+    found = [op1_multi_index, op2_simhash, op3_warc, op4_secrets, op5_htmltext, op6_langid, op7_mixing, op8_decontamination, op10_urlfilter]
     return {f.__name__: f for f in found}
