@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann, decontamination, htmltext, langid, mixing, secrets, simhash, urlfilter, warc
+from quarry.llm import ann, decontamination, htmltext, langid, mixing, secrets, simhash, substrings, urlfilter, warc
 from quarry.session import fresh_path, materialize
 
 
@@ -56,6 +56,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "archives")
     warc.write(_table(spark, sf_dir, "pages"), path)
@@ -72,5 +76,5 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_multi_index, op2_simhash, op3_warc, op4_secrets, op5_htmltext, op6_langid, op7_mixing, op8_decontamination, op10_urlfilter]
+    found = [op1_multi_index, op2_simhash, op3_warc, op4_secrets, op5_htmltext, op6_langid, op7_mixing, op8_decontamination, op9_substrings, op10_urlfilter]
     return {f.__name__: f for f in found}
