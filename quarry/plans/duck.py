@@ -1,0 +1,34 @@
+"""Query trees as DuckDB predicates over padded text: the oracle's side of the search queries."""
+
+from __future__ import annotations
+
+import re
+
+from quarry.functions.vocab import TEXT_FIELDS
+from quarry.plans.ast import And, Filter, Near, Node, Not, Or, Phrase, Term, YearRange
+
+
+def _item(i) -> str:
+    return re.escape(i.token) if isinstance(i, Term) else re.escape(i.stem) + ("[^ ]*" if i.op == "*" else "[^ ]?")
+
+
+def _side(n) -> str:
+    return " ".join(_item(i) for i in (n.items if isinstance(n, Phrase) else (n,)))
+
+
+def sql(n: Node | None) -> str:
+    if n is None:
+        return "true"
+    if isinstance(n, (And, Or)):
+        return "(" + (" AND " if isinstance(n, And) else " OR ").join(map(sql, n.children)) + ")"
+    if isinstance(n, Not):
+        return f"(NOT {sql(n.child)})"
+    if isinstance(n, Filter):
+        return "(" + " OR ".join(f"{n.field} BETWEEN {v.lo} AND {v.hi}" if isinstance(v, YearRange) else f"{n.field} = '{v}'" for v in n.values) + ")"
+    if isinstance(n, Near):
+        gap = f"( [^ ]+){{0,{n.distance}}} "
+        patterns = [f" {a}{gap}{b} " for a, b in ((_side(n.left), _side(n.right)), (_side(n.right), _side(n.left)))]
+    else:
+        patterns = [f" {_side(n)} "]
+    tests = [f"regexp_matches(T_{f}, '{p}')" for f in ([n.field] if n.field else TEXT_FIELDS) for p in patterns]
+    return "(" + " OR ".join(tests) + ")"
