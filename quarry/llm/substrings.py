@@ -48,8 +48,8 @@ WINDOW = 50
 GRAM = 8
 SHARD_RUNS = 4_000
 MOST_SHARDS = 16
-#: Span lists up to this many spans are broadcast to the texts; more are joined by a shuffle.
-BROADCAST_SPANS = 1_000_000
+#: Span lists up to this many spans (about 10 MB) are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_SPANS = 100_000
 #: Bytes of text that a task hashes at once (a longer document alone).
 BATCH_BYTES = 1 << 20
 
