@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import carried
 from quarry.session import materialize
 
 #: Words once A-Z is lower-cased, and the same class before that.
@@ -98,17 +99,18 @@ def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """The rows of docs that are not contaminated."""
-    bad = judge(docs, benchmark, id_col, text_col, **kwargs).where("contaminated").select(F.col("id").alias("_bad"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (F.xxhash64(text_col) == F.col("_mark")), "left_anti")
+    bad = judge(docs, benchmark, id_col, text_col, **kwargs).where("contaminated").select(F.col("id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct()
+    rows = carried(docs, id=F.col(id_col), mark=F.xxhash64(text_col))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("mark") == F.col("bad_mark")), "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """docs with the hit words (and what separates each from the next word) taken out of the text."""
-    found = judge(docs, benchmark, id_col, text_col, **kwargs).where("n_hit > 0").select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), "spans").dropDuplicates(["_id", "_mark"])
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_mark")), "left")
-    raw, gaps = F.regexp_extract_all(text_col, F.lit(RAW_WORD), F.lit(0)), F.split(text_col, RAW_WORD)
-    places = F.sequence(F.lit(0), F.size(raw) - 1)
+    found = judge(docs, benchmark, id_col, text_col, **kwargs).where("n_hit > 0").select(F.col("id").alias("hit_id"), F.col("mark").alias("hit_mark"), "spans").dropDuplicates(["hit_id", "hit_mark"])
+    rows = carried(docs, id=F.col(id_col), mark=F.xxhash64(text_col), text=F.col(text_col))
+    joined = rows.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
+    raw, gaps = F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0)), F.split("text", RAW_WORD)
     gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["stop"] - 1))))
-    kept = F.array_except(places, gone)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), gone)
     rebuilt = F.concat(gaps[0], F.array_join(F.transform(kept, lambda i: F.concat(F.get(raw, i), F.get(gaps, i + 1))), ""))
-    return joined.withColumn(text_col, F.when(F.col("spans").isNotNull(), rebuilt).otherwise(F.col(text_col))).select(*docs.columns)
+    return joined.select(F.col("row").withField(text_col, F.when(F.col("spans").isNotNull(), rebuilt).otherwise(F.col("text"))).alias("row")).select("row.*")

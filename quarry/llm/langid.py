@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import carried
+
 UND = "und"
 #: Bounds of the training sample and of its words.
 PER_LABEL = 250
@@ -285,5 +287,5 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", to: st
 def keep_recognised(docs: DataFrame, least: float = 0.34, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose language is recognised: neither ``und`` nor with a pooled probability under ``least``."""
     net = train(sample(docs, id_col, text_col, lang_col))
-    marked = predict(docs, net, text_col, "_judged")
-    return marked.where((F.col("_judged.lang_pred") != UND) & (F.col("_judged.score") >= least)).select(*docs.columns)
+    marked = predict(carried(docs, text=F.col(text_col)), net)
+    return marked.where((F.col("judged.lang_pred") != UND) & (F.col("judged.score") >= least)).select("row.*")

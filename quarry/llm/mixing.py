@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import carried
 from quarry.session import materialize
 
 #: The words of a text, and the weights given to sources in order.
@@ -148,17 +149,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; ``copy_no`` counts from 1."""
     plan = mix(docs, id_col, text_col, **kwargs)
-    keys = plan.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")).agg(F.min("copies").alias("_low"), F.max("copies").alias("_high"), F.sum(F.col("copies")).alias("_sum"))
-    columns = docs.columns
     source_col = kwargs.get("source_col", "source")
-    on = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-    joined = docs.join(keys, on)
-    plain = joined.where("_low = _high")
-    # Equal rows of which some get one copy more: the first ones by number.
-    uneven = joined.where("_low <> _high").withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy(F.lit(1))))
-    width = Window.partitionBy("_id", "_hash", "_source")
-    uneven = uneven.withColumn("_rows", F.count("*").over(width))
-    more = F.col("_sum") - F.col("_low") * F.col("_rows")
-    uneven = uneven.withColumn("_low", F.col("_low") + (F.col("_n") <= more).cast("long"))
-    both = plain.select(*columns, "_low").unionByName(uneven.select(*columns, "_low")).where("_low > 0")
-    return both.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_low"))).alias("copy_no"))
+    keys = plan.groupBy(F.col("id").alias("k_id"), F.col("text_hash").alias("k_hash"), F.col("source").alias("k_source"))
+    keys = keys.agg(F.min("copies").alias("low"), F.max("copies").alias("high"), F.sum("copies").alias("sum"), F.count("*").alias("rows"))
+    rows = carried(docs, id=F.col(id_col), hash=F.xxhash64(text_col), source=F.col(source_col).cast("string"))
+    joined = rows.join(keys, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")) & F.col("source").eqNullSafe(F.col("k_source")))
+    plain = joined.where("low = high").select("row", F.col("low").alias("copies"))
+    # Equal rows of which some are taken once more: the first ones.
+    number = F.row_number().over(Window.partitionBy("k_id", "k_hash", "k_source").orderBy(F.lit(1)))
+    uneven = joined.where("low <> high").withColumn("n", number)
+    uneven = uneven.select("row", (F.col("low") + (F.col("n") <= F.col("sum") - F.col("low") * F.col("rows")).cast("long")).alias("copies"))
+    both = plain.unionByName(uneven).where("copies > 0")
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_no")).select("row.*", "copy_no")

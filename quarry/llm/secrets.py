@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import carried
 from quarry.session import fresh_path, materialize
 
 
@@ -137,9 +138,10 @@ FOUND = "array<struct<start:long,order:int,stop:long,kind:string>>"
 def redact(docs: DataFrame, ledger: str | None = None, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, mark: str = MARK) -> DataFrame:
     """docs with every finding replaced by the mark; overlapping findings become one mark."""
     ledger = ledger or fresh_path(docs.sparkSession, "ledger")
-    found = scan(docs, ledger, path_col, text_col, rules).where("found is not null").select(F.col("mark").alias("_blob"), "found").dropDuplicates(["_blob"])
-    joined = docs.withColumn("_key", blob_id(F.col(text_col))).join(found, F.col("_key") == F.col("_blob"), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = scan(docs, ledger, path_col, text_col, rules).where("found is not null").select(F.col("mark").alias("blob"), "found").dropDuplicates(["blob"])
+    rows = carried(docs, blob=blob_id(F.col(text_col)), text=F.coalesce(F.col(text_col), F.lit("")))
+    joined = rows.join(found, "blob", "left")
+    text = F.col("text")
     first = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<string>").alias("kept"))
     # Pieces before, between and after the findings; a finding inside an earlier one adds nothing.
     pieces = F.aggregate(
@@ -151,4 +153,5 @@ def redact(docs: DataFrame, ledger: str | None = None, path_col: str = "doc_id",
         ).otherwise(F.struct(F.greatest(acc["upto"], s["stop"]).alias("upto"), acc["kept"].alias("kept"))),
         lambda acc: F.array_join(F.concat(acc["kept"], F.array(F.substring(text, (acc["upto"] + 1).cast("int"), F.lit(2**31 - 1)))), mark),
     )
-    return joined.withColumn(text_col, F.when(F.col("found").isNotNull(), pieces).otherwise(F.col(text_col))).select(*docs.columns)
+    changed = F.when(F.col("found").isNotNull(), pieces).otherwise(F.col("row").getField(text_col))
+    return joined.select(F.col("row").withField(text_col, changed).alias("row")).select("row.*")

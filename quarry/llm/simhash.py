@@ -22,9 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm import carried
 from quarry.operators.components import connected_components
 from quarry.session import materialize
 
@@ -173,14 +174,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows without an id are kept.
     """
     found = near_duplicates(docs, id_col, text_col, **kwargs)
-    kept = found.where("id is not null and id = component_id").select(F.col("id").alias("_kept_id")).distinct()
-    columns = docs.columns
-    order = [F.xxhash64(text_col), *[F.col(c) for c in columns if dict(docs.dtypes)[c] not in ("map", "variant")]]
-    chosen = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept_id"), "left_semi")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id")
-    single = chosen.join(repeated, F.col(id_col) == F.col("_id"), "left_anti")
-    several = chosen.join(repeated, F.col(id_col) == F.col("_id"), "left_semi")
-    from pyspark.sql import Window
-
-    several = several.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where("_n = 1").select(*columns)
-    return single.select(*columns).unionByName(several).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = found.where("id is not null and id = component_id").select("id").distinct()
+    rows = carried(docs, id=F.col(id_col).cast("long"), text=F.col(text_col))
+    one = Window.partitionBy("id").orderBy(F.xxhash64("text"), "text")  # ids seldom repeat
+    chosen = rows.join(kept, "id", "left_semi").withColumn("n", F.row_number().over(one)).where("n = 1")
+    return chosen.select("row.*").unionByName(rows.where("id is null").select("row.*"))
