@@ -109,8 +109,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = judge(docs, benchmark, id_col, text_col, **kwargs).where("n_hit > 0").select(F.col("id").alias("hit_id"), F.col("mark").alias("hit_mark"), "spans").dropDuplicates(["hit_id", "hit_mark"])
     rows = carried(docs, id=F.col(id_col), mark=F.xxhash64(text_col), text=F.col(text_col))
     joined = rows.join(found, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
-    raw, gaps = F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0)), F.split("text", RAW_WORD)
-    gone = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["stop"] - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(raw) - 1), gone)
-    rebuilt = F.concat(gaps[0], F.array_join(F.transform(kept, lambda i: F.concat(F.get(raw, i), F.get(gaps, i + 1))), ""))
+    gaps = F.split("text", RAW_WORD)
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(RAW_WORD), F.lit(0)).alias("word"), F.slice(gaps, F.lit(2), F.greatest(F.lit(0), F.size(gaps) - 1)).alias("gap"))
+    kept = F.filter(pairs, lambda x, i: ~F.exists("spans", lambda s: (s["pos"] <= i) & (i < s["stop"])))
+    rebuilt = F.concat(gaps[0], F.array_join(F.transform(kept, lambda x: F.concat(x["word"], x["gap"])), ""))
     return joined.select(F.col("row").withField(text_col, F.when(F.col("spans").isNotNull(), rebuilt).otherwise(F.col("text"))).alias("row")).select("row.*")
