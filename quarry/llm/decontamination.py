@@ -54,7 +54,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
     many = windows.count()
     probes = sorted(r["k"] for r in windows.select(F.least(F.size("gram"), F.lit(PROBE)).alias("k")).distinct().collect())  # at most PROBE values
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words(F.col(text_col)).alias("w"))  # no filter here: it would split every text twice
     found = None
     for k in probes or [PROBE]:
         side = windows.where(F.least(F.size("gram"), F.lit(PROBE)) == k)
