@@ -37,13 +37,16 @@ MAX_BITS = 1 << 31
 
 @dataclass
 class Level:
+    """One Bloom filter. Its size and its first hash differ from level to level, so keys that collide in one do not in the next."""
+
     bits: np.ndarray
     size: int
     hashes: int
+    first: int
 
     def test(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         hit = np.ones(len(h1), dtype=bool)
-        for i in range(self.hashes):
+        for i in range(self.first, self.first + self.hashes):
             at = (h1 + i * h2) % self.size
             hit &= (self.bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
         return hit
@@ -87,18 +90,19 @@ def url_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.when(host != "", ordered).otherwise(F.array().cast("array<string>"))
 
 
-def _encode(keys: DataFrame, count: int, bits_per_key: int) -> Level:
-    size = max(64, 64 * math.ceil(count * bits_per_key / 64))
-    if size > MAX_BITS:
-        raise ValueError(f"{count} keys need {size} bits, more than the {MAX_BITS} that are broadcast")
+def _encode(keys: DataFrame, count: int, bits_per_key: int, depth: int) -> Level:
+    room = max(256, 64 * math.ceil(count * bits_per_key / 64))
+    if room > MAX_BITS:
+        raise ValueError(f"{count} keys need {room} bits, more than the {MAX_BITS} that are broadcast")
     hashes = max(1, round(bits_per_key * math.log(2)))
+    size, begin = room - depth % 100, depth * hashes
     h1, h2 = key_hashes(F.col("key"))
-    spots = keys.select(F.explode(F.array(*[(h1 + h2 * F.lit(i)) % F.lit(size).cast("long") for i in range(hashes)])).alias("at"))
+    spots = keys.select(F.explode(F.array(*[(h1 + h2 * F.lit(i)) % F.lit(size).cast("long") for i in range(begin, begin + hashes)])).alias("at"))
     words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    bits = np.zeros(size // 64, dtype=np.uint64)
-    for word, value in words.collect():  # size / 64 rows at most
+    bits = np.zeros(room // 64, dtype=np.uint64)
+    for word, value in words.collect():  # room / 64 rows at most
         bits[word] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
-    return Level(bits, size, hashes)
+    return Level(bits, size, hashes, begin)
 
 
 def _passing(keys: DataFrame, level: Level) -> DataFrame:
@@ -120,7 +124,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = BI
     for depth in range(most_levels):
         if not count:
             break
-        level = _encode(encoded, count, bits_per_key)
+        level = _encode(encoded, count, bits_per_key, depth)
         levels.append(level)
         if depth == 0:
             wrong = _passing(universe, level).join(listed, "key", "left_anti")
