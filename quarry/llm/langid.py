@@ -231,9 +231,17 @@ def held_out(doc_id) -> F.Column:
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = PER_LABEL) -> list[tuple[str, str]]:
     """At most per_label rows of each label outside the held-out fold, by a hash of the id. The bound is on rows sent to the driver."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("label"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
+    known = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))
+    rows = docs.where(known).select(F.col(lang_col).cast("string").alias("label"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).collect()  # a row per language
+    if not counts:
+        return []
+    # Of a frequent label only hashes low enough for about four times the bound are looked at, so that no task meets more.
+    span = 1 << 63
+    cuts = {r["label"]: span - 1 if r["n"] <= 8 * per_label else int(-span + 2 * span * (4 * per_label / r["n"])) for r in counts}
+    cut = F.create_map(*[F.lit(x) if isinstance(x, str) else F.lit(x).cast("long") for pair in cuts.items() for x in pair])[F.col("label")]
     place = F.row_number().over(Window.partitionBy("label").orderBy("h", "id", F.xxhash64("text")))
-    chosen = rows.withColumn("n", place).where(F.col("n") <= per_label).select("text", "label", "n").collect()
+    chosen = rows.where(F.col("h") <= cut).withColumn("n", place).where(F.col("n") <= per_label).select("text", "label", "n").collect()
     return [(r["text"], r["label"]) for r in sorted(chosen, key=lambda r: (r["label"], r["n"]))]
 
 
