@@ -17,9 +17,9 @@ def read_ris(spark: SparkSession, path: str) -> DataFrame:
     Records end with an ER line; the file is split there, so large files are read in parallel.
     """
     raw = spark.read.option("lineSep", "ER  -").text(path)
-    lines = F.regexp_extract_all("value", F.lit(r"(?m)^\s*([A-Z][A-Z0-9])  ?- ?(.*?)\s*$"), F.lit(0))
+    lines = F.regexp_extract_all("value", F.lit(r"(?m)^[ \t]*([A-Z][A-Z0-9])  ?- ?(.*?)[ \t\r]*$"), F.lit(0))
     rows = raw.select(lines.alias("l")).where(F.size("l") > 0)
-    tagged = F.transform("l", lambda x: F.struct(F.substring(F.ltrim(x), 1, 2).alias("tag"), F.trim(F.regexp_replace(x, r"^\s*[A-Z][A-Z0-9]  ?- ?", "")).alias("v")))
+    tagged = F.transform("l", lambda x: F.struct(F.substring(F.ltrim(x), 1, 2).alias("tag"), F.trim(F.regexp_replace(x, r"^[ \t]*[A-Z][A-Z0-9]  ?- ?", "")).alias("v")))
     rows = rows.select(F.filter(tagged, lambda x: x["v"] != "").alias("l"))
     all_of = lambda *tags: F.transform(F.filter("l", lambda x: x["tag"].isin(list(tags))), lambda x: x["v"])
     one = lambda *tags: F.get(all_of(*tags), F.lit(0))
