@@ -46,12 +46,12 @@ from quarry.session import materialize
 
 WINDOW = 50
 GRAM = 8
-SHARD_RUNS = 4_000
-MOST_SHARDS = 16
+SHARD_RUNS = 1_000
+MOST_SHARDS = 64
 #: Span lists up to this many spans (about 10 MB) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_SPANS = 100_000
 #: Bytes of text that a task hashes at once (a longer document alone).
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 _P = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_P, -1, 1 << 64)
