@@ -70,5 +70,17 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u L
 """
 
 
+OP9 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, doc_id, unnest(list_transform(range(1, len(w) - 48), lambda i: {'i': i, 'h': md5(array_to_string(w[i:i + 49], ' '))})) AS x FROM d WHERE len(w) >= 50),
+first AS (SELECT x.h AS h, min(doc_id) AS m FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT rid, unnest(range(x.i, x.i + 50)) AS p FROM win JOIN first ON first.h = win.x.h WHERE m < doc_id),
+e AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+k AS (SELECT e.rid, string_agg(word, ' ' ORDER BY e.p) FILTER (WHERE gone.p IS NULL) AS kept, count(gone.p) AS n FROM e LEFT JOIN gone ON gone.rid = e.rid AND gone.p = e.p GROUP BY e.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op3_warc": OP3, "op4_secrets": OP4, "op8_decontamination": OP8, "op10_urlfilter": OP10}
+    return {"op3_warc": OP3, "op4_secrets": OP4, "op8_decontamination": OP8, "op9_substrings": OP9, "op10_urlfilter": OP10}
