@@ -18,11 +18,12 @@ Defined results:
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ LEAST = 1000
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records per archive file, so that one file fits in a task's memory.
-RECORDS_PER_FILE = 2_000
+RECORDS_PER_FILE = 500
 PARSED = "page_id long, record_type string, record_id string, refers_to_id string, payload_digest string, declared_bytes long, payload_bytes long, payload_sha1 string, target_uri string, payload string"
 
 
@@ -122,20 +123,18 @@ def parse(data: bytes, with_payload: bool = False) -> Iterator[tuple]:
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """The records under path, with the digest and length recomputed from each response's payload."""
-    import gzip
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in PARSED.split(", ")]
-        for frame in frames:
-            for content in frame["content"]:
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else bytes(content)
-                out = pd.DataFrame(list(parse(data, with_payload)), columns=names)
-                for name in ("page_id", "declared_bytes", "payload_bytes"):
-                    out[name] = out[name].astype("Int64")
-                yield out
+    kinds = [(name, pa.int64() if kind == "long" else pa.string()) for name, kind in (c.split() for c in PARSED.split(", "))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):  # one archive at a time
+                data = content.as_py()
+                rows = list(parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, with_payload))
+                columns = list(zip(*rows)) if rows else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(run, PARSED)
+    return files.mapInArrow(run, PARSED)
 
 
 def resolved(records: DataFrame) -> DataFrame:
