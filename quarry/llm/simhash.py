@@ -155,7 +155,7 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, blocks: int = B
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = MAX_DISTANCE, blocks: int = BLOCKS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(id, fp, component_id, links) per row; component_id is the smallest id reachable over close fingerprints."""
+    """(id, fp, component_id) per row; component_id is the smallest id reachable over close fingerprints."""
     each = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
     distinct = materialize(each.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
     groups = connected_components(links(distinct, max_distance, blocks, group_rows))
