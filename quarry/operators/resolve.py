@@ -210,3 +210,51 @@ def withhold(records: DataFrame, ids: DataFrame) -> DataFrame:
     marked = records.join(ids.select("id", F.lit(True).alias("withheld")).distinct(), "id", "left")
     hidden = F.coalesce("withheld", F.lit(False))
     return marked.withColumn("abstract", F.when(~hidden, F.col("abstract"))).withColumn("withheld", hidden)
+
+
+def near_titles(rows: DataFrame) -> DataFrame:
+    """(id_a, id_b, distance, verdict): all pairs of one venue and year whose title keys ``k`` are equal or alike.
+
+    Likeness of 0.9 allows a tenth of the longer key as edits, and every edit breaks at most one of the pieces it is
+    cut into. So the shorter key must hold at least as many of the pieces as there are more pieces than edits, and be
+    at most a tenth shorter. Keys are compared once each, whatever the number of their rows.
+    """
+    digits = F.regexp_extract_all("k", F.lit(r"\d+"), F.lit(0))
+    keys = rows.groupBy("venue", "year", "k").agg(F.count("*").alias("rows")).withColumn("no", F.monotonically_increasing_id())
+    keys = materialize(keys.withColumn("n", F.char_length("k")).withColumn("digits", digits), "title-keys")
+    sides = keys.where("n >= 10").select("no", "n", "k", F.encode("k", "UTF-8").alias("bytes"), F.xxhash64("venue", "year", "digits").alias("scope"))
+
+    def size(n: Column) -> Column:
+        """Letters of a piece: of n letters there are more pieces than a tenth of n."""
+        return F.when(n < 20, 5).when(n < 30, 6).when(n < 40, 7).when(n < 90, 8).otherwise(9)
+
+    def cuts(q: Column, step: Column) -> Column:
+        def hashed(at):
+            return F.xxhash64("scope", F.when(F.length("bytes") == F.col("n"), F.substring("bytes", at, q)).otherwise(F.encode(F.substring("k", at, q), "UTF-8")))
+
+        return F.when(F.col("n") >= q, F.transform(F.sequence(F.lit(1), F.col("n") - q + 1, step), hashed)).otherwise(F.array().cast("array<bigint>"))
+
+    n = F.col("n")
+    edits, q, longer = F.floor(n / 10).cast("int"), size(n), size(F.floor(n * 10 / 9).cast("int") + 1)
+    pieces = sides.select(F.col("no").alias("a"), n.alias("a_n"), (n - edits).alias("least"), (F.floor(n / q).cast("int") - edits).alias("need"), F.explode(cuts(q, q)).alias("h"))
+    one = F.lit(1)
+    grams = F.when(q == longer, cuts(q, one)).otherwise(F.concat(cuts(q, one), cuts(longer, one)))
+    held = sides.select(F.col("no").alias("b"), n.alias("b_n"), F.explode(F.array_distinct(grams)).alias("h"))
+    met = pieces.join(held, "h").where("b_n >= least and (b_n < a_n or b_n = a_n and b < a)")
+    pairs = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("need").alias("need")).where("met >= need").select("a", "b")
+
+    one_side = lambda x: keys.select(*[F.col(c).alias(f"{x}_{c}") for c in ("no", "venue", "year", "k", "digits", "n")])
+    alike = pairs.join(one_side("a"), F.col("a") == F.col("a_no")).join(one_side("b"), F.col("b") == F.col("b_no"))
+    alike = alike.where("a_venue <=> b_venue and a_year <=> b_year and a_digits = b_digits")
+    alike = alike.select("a", "b", F.expr("levenshtein(a_k, b_k, cast(floor(a_n / 10) as int))").cast("long").alias("distance")).where("distance >= 0")
+    alike = materialize(alike, "near-titles")
+
+    named = rows.select("id", F.col("venue").alias("v"), F.col("year").alias("y"), F.col("k").alias("key"))
+    members = named.join(keys.select("venue", "year", "k", "no", "rows"), F.col("v").eqNullSafe(F.col("venue")) & F.col("y").eqNullSafe(F.col("year")) & (F.col("key") == F.col("k")))
+    members = materialize(members.select("id", "no", "rows"), "title-members")
+    a, b = members.select(F.col("id").alias("x"), F.col("no").alias("a")), members.select(F.col("id").alias("z"), F.col("no").alias("b"))
+    same = members.where("rows > 1")
+    exact = same.select(F.col("id").alias("x"), "no").join(same.select(F.col("id").alias("z"), "no"), "no").where("x < z")
+    exact = exact.select(F.col("x").alias("id_a"), F.col("z").alias("id_b"), F.lit(0).cast("long").alias("distance"), F.lit("exact").alias("verdict"))
+    similar = alike.join(a, "a").join(b, "b").select(F.least("x", "z").alias("id_a"), F.greatest("x", "z").alias("id_b"), "distance", F.lit("similar").alias("verdict"))
+    return exact.unionByName(similar)

@@ -307,12 +307,9 @@ def rebuild_inverted_index(spark, d):
 
 
 def levenshtein_title(spark, d):
-    """Near titles inside one venue, year and first word."""
-    rows = index(spark, d).corpus.where("size(tok_title) > 2").select("id", "venue", "year", F.array_join("tok_title", " ").alias("k"), F.element_at("tok_title", 1).alias("w")).where("char_length(k) < 255")
-    a, b = rows.alias("a"), rows.alias("b")
-    on = (F.col("a.venue") == F.col("b.venue")) & (F.col("a.year") == F.col("b.year")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))
-    pairs = a.join(b, on).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.levenshtein("a.k", "b.k").cast("long").alias("distance"), T.title_verdict(F.col("a.k"), F.col("b.k")).alias("verdict"))
-    return pairs.where("verdict is not null")
+    """Near titles inside one venue and year."""
+    rows = index(spark, d).corpus.where("size(tok_title) > 2").select("id", "venue", "year", F.array_join("tok_title", " ").alias("k"))
+    return resolve.near_titles(rows)
 
 
 def venue_era(spark, d):
