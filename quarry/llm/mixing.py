@@ -5,12 +5,14 @@ weight; a target stops at ``ceiling`` times the source's size and the excess
 goes to the other sources by weight (water filling). A source whose target is
 r times its size takes floor(r) whole copies of each document for certain. The
 rest is a fixed-size sample in Pareto order: documents are ranked by the random
-odds u/(1-u) over the inclusion odds p/(1-p) and taken while they fit in the
-words left over. Of the documents behind the cut, the one whose size is nearest
-to what still lacks is taken too if that brings the source nearer its target.
+odds u/(1-u) over the inclusion odds p/(1-p) and taken if they fit in the words
+left over; those that do not are passed over. When none fits any more, the one
+whose size is nearest to what still lacks is taken too if that brings the source
+nearer its target.
 
 u is a hash of the id, the text and a seed, so reruns agree. The cut is found
-from sums per source and bin of the rank, so no source is sorted in one task.
+from sums per source and bin of the rank, so no source is sorted in one task;
+it is found again for what lacks behind it until no document fits.
 
 Defined results:
 - null text: size 0; such rows take no words;
@@ -86,6 +88,23 @@ def _level(table: DataFrame, ceiling: float) -> float:
         level = now
 
 
+def _fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with ``fits``, true up to the first of a source that exceeds its ``gap``; and what each source then lacks."""
+    # Words per bin, running over the bins of a source: the bin in which the gap is reached.
+    binned = docs.groupBy("sno", "bin").agg(F.sum("size").alias("w"), F.first("gap").alias("gap"))
+    before = F.sum("w").over(Window.partitionBy("sno").orderBy("bin")) - F.col("w")
+    reached = F.max_by(F.struct(F.col("bin").alias("cut_bin"), F.col("before").alias("before")), "bin")
+    cut = binned.withColumn("before", before).where("before < gap").groupBy("sno").agg(reached.alias("c"))
+    with_cut = docs.join(materialize(cut.select("sno", "c.cut_bin", "c.before"), "cuts"), "sno", "left")
+
+    order = Window.partitionBy("sno").orderBy("q", "id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    inside = with_cut.where("bin = cut_bin").withColumn("fits", F.col("before") + F.sum("size").over(order) <= F.col("gap"))
+    others = with_cut.where("cut_bin is null or bin <> cut_bin").withColumn("fits", F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False)))
+    marked = materialize(others.unionByName(inside).drop("cut_bin", "before"), "marked")
+    lack = marked.groupBy("sno").agg((F.first("gap") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("lack"))
+    return marked, materialize(lack, "lack")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ceiling: float = CEILING, seed: int = 7, bins: int = BINS) -> DataFrame:
     """(id, text_hash, source, size, source_size, target, copies, taken): one row per document."""
     sized = materialize(
@@ -109,40 +128,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     odds, chance = u / (1 - u), F.col("p") / (1 - F.col("p"))
     rank = F.when((F.col("p") > 0) & (F.col("p") < 1), odds / chance)
     known = known.withColumn("q", rank).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * bins).cast("int"))
-    known = materialize(known.drop("draw", "p"), "known")
+    known = materialize(known.drop("draw", "p").withColumn("row", F.monotonically_increasing_id()), "known")
 
-    # Words per bin, running over the bins of a source: the bin in which the rest is reached.
-    binned = known.where("q is not null").groupBy("sno", "bin").agg(F.sum("size").alias("w"), F.first("rest").alias("rest"))
-    before = F.sum("w").over(Window.partitionBy("sno").orderBy("bin")) - F.col("w")
-    reached = F.max_by(F.struct(F.col("bin").alias("cut_bin"), F.col("before").alias("before")), "bin")
-    cut = binned.withColumn("before", before).where("before < rest").groupBy("sno").agg(reached.alias("c"))
-    cut = materialize(cut.select("sno", "c.cut_bin", "c.before"), "cuts")
-    with_cut = known.join(cut, "sno", "left")
-
-    inside = with_cut.where("bin = cut_bin")
-    order = Window.partitionBy("sno").orderBy("q", "id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
-    running = inside.withColumn("had", F.col("before") + F.sum("size").over(order) - F.col("size"))
-    running = materialize(running.withColumn("extra", F.col("had") + F.col("size") <= F.col("rest")), "atcut")
-    got = running.groupBy("sno").agg((F.first("before") + F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("got"))
-
-    # One more document of those behind the cut may fit what lacks.
-    columns = ["sno", "id", "text_hash", "size", "q", "rest"]
-    outside = with_cut.where("bin > cut_bin").select(*columns).unionByName(running.where("not extra").select(*columns))
-    left = outside.join(got, "sno").withColumn("lack", F.col("rest") - F.col("got")).where("size > 0 and abs(lack - size) < abs(lack)")
-    best = left.groupBy("sno").agg(F.min(F.struct(F.abs(F.col("lack") - F.col("size")).alias("off"), "q", "id", "text_hash")).alias("b"))
-    best = materialize(best.select("sno", F.col("b.id").alias("fit_id"), F.col("b.text_hash").alias("fit_hash")), "fits")
-
-    columns = ["id", "text_hash", "sno", "source", "size", "source_size", "target", "sure", "extra"]
-    head = with_cut.where("bin is null or cut_bin is null or bin <> cut_bin").withColumn("extra", F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False)))
-    every = head.select(*columns).unionByName(running.select(*columns)).join(best, "sno", "left")
-    fits = F.col("id").eqNullSafe(F.col("fit_id")) & (F.col("text_hash") == F.col("fit_hash")) & ~F.col("extra")
-    every = every.withColumn("fits", F.coalesce(fits, F.lit(False)))
-    # Of equal rows only one is the fitting document.
-    several = every.where("fits").withColumn("n", F.row_number().over(Window.partitionBy("sno", "id", "text_hash").orderBy("size")))
-    picked = several.select(*columns[:-1], (F.col("n") == 1).alias("extra"))
-    rest = every.where("not fits").select(*columns)
+    marked, lack = _fill(known.where("q is not null").withColumn("gap", F.col("rest")))
+    behind, later, lacks = marked, [], lack
+    while True:
+        behind = behind.where("not fits and size > 0").drop("fits", "gap").join(lack.withColumnRenamed("lack", "gap"), "sno").where("size <= gap")
+        if behind.isEmpty():
+            break
+        behind, lack = _fill(behind)
+        later.append(behind.where("fits").select("row"))
+        newer = lack.withColumnRenamed("lack", "newer")
+        lacks = materialize(lacks.join(newer, "sno", "left").select("sno", F.coalesce("newer", "lack").alias("lack")), "lacks")
+    if later:
+        also = later[0]
+        for rows in later[1:]:
+            also = also.unionByName(rows)
+        marked = marked.join(also.withColumn("also", F.lit(True)), "row", "left").withColumn("fits", F.col("fits") | F.col("also").isNotNull()).drop("also")
+
+    # One more document of those left may come nearest to what lacks.
+    left = marked.where("not fits").join(lacks, "sno").where("size > 0 and abs(lack - size) < abs(lack)")
+    best = left.groupBy("sno").agg(F.min(F.struct(F.abs(F.col("lack") - F.col("size")).alias("off"), "q", "id", "text_hash", "row")).alias("b"))
+    best = materialize(best.select("sno", F.col("b.row").alias("best")), "fits")
+
+    columns = ["id", "text_hash", "source", "size", "source_size", "target", "sure", "extra"]
+    taken = F.col("fits") | F.coalesce(F.col("row") == F.col("best"), F.lit(False))
+    out = marked.join(best, "sno", "left").withColumn("extra", taken).select(*columns)
+    out = out.unionByName(known.where("q is null").withColumn("extra", F.lit(False)).select(*columns))
     copies = F.least(F.col("sure") + F.col("extra").cast("long"), F.lit(int(ceiling)).cast("long"))
-    out = rest.unionByName(picked).withColumn("copies", copies)
+    out = out.withColumn("copies", copies)
     return out.select("id", "text_hash", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

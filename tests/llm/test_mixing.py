@@ -71,3 +71,16 @@ def test_empty(spark, docs_of):
     assert mixing.apply_mix(docs_of([])).count() == 0
     only_null = mixing.mix(docs_of([(1, None, None, None)])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in only_null] == [(0, 0.0, 0)]
+
+
+def test_long_documents_at_the_cut_are_passed_over(spark, docs_of):
+    rng = random.Random(3)
+    data = []
+    for i in range(4000):
+        size = 300 if i % 500 == 0 else rng.randint(1, 4)
+        data.append((i, " ".join(["w"] * size), "en", "abcd"[i // 1000]))
+    for seed in (1, 2, 7):
+        found = mixing.mix(docs_of(data), bins=16, seed=seed).collect()
+        for s in "abcd":
+            mine = [r for r in found if r["source"] == s]
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1, (seed, s)
