@@ -7,7 +7,10 @@ density on the path from body to that node is the threshold: the region grows
 to an enclosing article, or to a parent whose further text is headings or at
 least that dense. Elements that are boilerplate by what they are (menus,
 headers, footers, asides, forms, scripts, styles; adverts, notices, sidebars
-and reader comments by role, class or id) count for nothing.
+and reader comments by role, class or id) count for nothing. A form, or what
+only a class or id speaks against, stays if it holds the article: an article or
+main element, or most of the page's text outside links, and no other article or
+main element stands beside it. Then what is boilerplate inside it is left out.
 
 Blocks are joined in page order by two newlines; white space inside a block
 becomes one space.
@@ -51,23 +54,30 @@ HINTS = frozenset(
 
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
-_HINT = re.compile(r"""(?i)\s(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>]|$)""")
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
-        return True
+def _attributes(attrs: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(attrs):
+        found.setdefault(name.lower(), (a or b or c).lower())
+    return found
+
+
+def _hinted(found: dict[str, str]) -> bool:
+    return any(not HINTS.isdisjoint(_SPLIT.split(found[name])) for name in ("class", "id") if name in found)
+
+
+def _unwanted(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether the element is boilerplate for certain, and whether it is unless it holds the article."""
+    if tag in DROPPED and tag != "form":
+        return True, False
     if tag in KEPT or not attrs.strip():
-        return False
-    for name, a, b, c in _HINT.findall(attrs):
-        value = (a or b or c).lower()
-        name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not HINTS.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+        return False, tag == "form"
+    found = _attributes(attrs)
+    sure = "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES
+    return sure, tag == "form" or _hinted(found)
 
 
 class _Tree:
@@ -76,6 +86,7 @@ class _Tree:
     def __init__(self) -> None:
         self.parent, self.tag, self.chars, self.link_chars, self.tags, self.link_tags = [-1], ["#root"], [0], [0], [0], [0]
         self.text: list[tuple[int, str | None]] = []
+        self.doubtful, self.article = [False], [False]
 
 
 def parse(page: str) -> _Tree:
@@ -157,8 +168,8 @@ def parse(page: str) -> _Tree:
             if above >= 0:
                 tree.tags[above] += 1
             continue
-        dropped = above < 0 or _unwanted(tag, attrs)
-        if attrs.endswith("/") and dropped and tag not in BLOCK and tag not in RAW:
+        dropped, doubtful = (True, False) if above < 0 else _unwanted(tag, attrs)
+        if attrs.endswith("/") and (dropped or doubtful) and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             lower = lower if lower is not None else page.lower() if len(page.lower()) == size else page
@@ -178,6 +189,8 @@ def parse(page: str) -> _Tree:
             tree.link_chars.append(0)
             tree.tags.append(1)
             tree.link_tags.append(int(tag == "a"))
+            tree.doubtful.append(doubtful)
+            tree.article.append(tag in ("article", "main") and not _hinted(_attributes(attrs)))
             stack.append((tag, len(tree.parent) - 1))
         links += tag == "a"
     cut(1)
@@ -193,13 +206,47 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, body_share:
     return chars / tags * max(0.0, math.log(max(chars / lc * tags / lt, 1.0)) / base) if base > 0 else 0.0
 
 
+def _left_out(tree: _Tree) -> list[bool]:
+    """Per node, whether it lies in a doubtful element that does not hold the article."""
+    n = len(tree.parent)
+    plain = [a - b for a, b in zip(tree.chars, tree.link_chars)]
+    own = plain[:]  # without the doubtful elements below
+    articles = [0] * n  # in the subtree
+    for i in range(n - 1, 0, -1):
+        p = tree.parent[i]
+        articles[i] += tree.article[i] and plain[i] > 0
+        articles[p] += articles[i]
+        plain[p] += plain[i]
+        own[p] += 0 if tree.doubtful[i] else own[i]
+    within = [0] * n  # the nearest doubtful element, the node itself included; 0: none
+    around = [0] * n  # articles with text of their own that enclose the node
+    beside = [0] * n  # such articles by nearest doubtful element; then also those of the elements around it
+    for i in range(1, n):
+        p = tree.parent[i]
+        within[i] = i if tree.doubtful[i] else within[p]
+        around[i] = around[p]
+        if tree.article[i] and own[i] > 0:
+            around[i] += 1
+            beside[within[i]] += 1
+    out = [False] * n
+    for i in range(1, n):
+        p = tree.parent[i]
+        out[i] = out[p]
+        if tree.doubtful[i]:
+            holds = articles[i] > 0 or 2 * plain[i] > plain[0]
+            out[i] = out[i] or not holds or beside[within[p]] > around[p]
+            beside[i] += beside[within[p]]
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
     tree = parse(page)
     n = len(tree.parent)
-    chars, tags, link_chars, link_tags = tree.chars[:], tree.tags[:], tree.link_chars[:], tree.link_tags[:]
+    out = _left_out(tree) if any(tree.doubtful) else [False] * n
+    chars, tags, link_chars, link_tags = ([0 if o else v for v, o in zip(x, out)] for x in (tree.chars, tree.tags, tree.link_chars, tree.link_tags))
     last = list(range(n))
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
@@ -208,7 +255,7 @@ def extract(page: str | None) -> str:
         last[p] = max(last[p], last[i])
     if not chars[0]:
         return ""
-    body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
+    body = next((i for i in range(n) if tree.tag[i] == "body" and not out[i]), 0)
     share = link_chars[body] / chars[body] if chars[body] else 0.0
     dense = [density(chars[i], tags[i], link_chars[i], link_tags[i], share) for i in range(n)]
     sums = [0.0] * n
@@ -236,7 +283,7 @@ def extract(page: str | None) -> str:
     blocks: list[str] = []
     now: list[str] = []
     for node, piece in tree.text:
-        if not region <= node <= last[region]:
+        if out[node] or not region <= node <= last[region]:
             continue
         if piece is None:
             if now:

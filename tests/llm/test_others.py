@@ -104,6 +104,31 @@ def test_main_text(page, text):
     assert htmltext.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><form id=aspnetForm action=x><input name=v><div class=header>Site</div><div id=content>{ARTICLE}</div><div class=footer>Foot</div></form>",
+        f"<body><div class='layout has-sidebar'><div class=sidebar><p>Side words</p></div><article>{ARTICLE}</article></div>",
+        f"<body><div class='widget Blog'>{ARTICLE}</div><div class=widget>Other</div>",
+        f"<body><div id='page-with-header'><div id=header>Site</div><main>{ARTICLE}</main></div>",
+        f"<body><article>{ARTICLE}</article><div id=comments><p>{'Readers say more than the article does. ' * 9}</p></div>",
+        f"<body><form><article>{ARTICLE}</article><div id=comments><p>{'Readers say more than the article does. ' * 9}</p></div></form>",
+    ],
+)
+def test_wrapped_articles_stay(page):
+    assert htmltext.extract(page) == TEXT
+
+
+def test_attributes_are_not_read_inside_quotes():
+    page = "<body><article><p>See <a title='the hidden gem' href=x>this</a> and <span title=\"a class=ad b\">that</span>.<div title='a hidden x'>Block</div><div hidden>gone</div><div data-x=1 HIDDEN=''>gone</div></article>"
+    assert htmltext.extract(page) == "See this and that.\n\nBlock"
+
+
+def test_nested_doubtful_elements_are_linear():
+    deep = "<div class=widget>" * 20_000 + "<p>deep text"
+    assert htmltext.extract(deep) == "deep text"
+
+
 def test_html_is_linear_and_whole(spark):
     deep = "<div>" * 20_000 + "deep" + "</div>" * 20_000
     assert htmltext.extract(deep) == "deep"
