@@ -10,8 +10,12 @@ DISPLAY = ("title", "abstract", "venue", "year", "track", "status")
 
 
 def content_hash(columns: tuple[str, ...] = HASHED) -> Column:
-    """sha256 of canonical JSON: keys sorted, no spaces, nulls kept."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    """sha256 of canonical JSON: keys sorted, no spaces, nulls kept, control characters in lower-case hex."""
+    json = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    lower = json
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):  # an escape follows an even number of backslashes
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    return F.sha2(F.when(json.rlike(r"\\u00[01][A-F]"), lower).otherwise(json), 256)
 
 
 def snapshot_counts(records: DataFrame) -> DataFrame:

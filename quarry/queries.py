@@ -283,7 +283,7 @@ def ids_hash(spark, d):
 
 
 def content_hash(spark, d):
-    return papers(spark, d).where(~F.coalesce(F.concat("title", F.coalesce("abstract", F.lit(""))), F.lit("")).rlike(r'[\x00-\x09\x0B-\x1F]')).select("id", snapshot.content_hash().alias("content_hash"))
+    return papers(spark, d).select("id", snapshot.content_hash().alias("content_hash"))
 
 
 def same_paper_closure(spark, d):
