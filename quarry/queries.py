@@ -325,7 +325,7 @@ def url_parts(spark, d):
 
 
 def inflections(spark, d):
-    return index(spark, d).vocab.where("field = 'title'").select("term", T.inflection_stem(F.col("term")).alias("stem"))
+    return index(spark, d).vocab.select("term").distinct().select("term", T.inflection_stem(F.col("term")).alias("stem"))
 
 
 def one_line_titles(spark, d):

@@ -26,3 +26,8 @@ def test_every_row_has_a_content_hash(spark, folder):
         expected[r["id"]] = hashlib.sha256(text.encode()).hexdigest()
     assert len(expected) == 4
     assert {r["id"]: r["content_hash"] for r in queries.content_hash(spark, folder).collect()} == expected
+
+
+def test_inflections_cover_both_fields(spark, folder):
+    rows = [(r["term"], r["stem"]) for r in queries.inflections(spark, folder).collect()]
+    assert len(rows) == len(set(rows)) and {("lines", "line"), ("plain", "plain"), ("abstract", "abstract"), ("body", "body")} <= set(rows)
