@@ -155,7 +155,7 @@ def test_language_held_out_accuracy(spark, docs_of):
     assert all(label for _, label in train) and len(train) <= 3 * langid.PER_LABEL
     held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
     assert not {t for _, t, *_ in [r for r in rows if r[0] in held]} & {t for t, _ in train}
-    net = langid.train(train, words=3000)
+    net = langid.train(train)
     got = {r["doc_id"]: (r["h"], r["judged"]["lang_pred"], r["judged"]["score"]) for r in langid.predict(docs, net).select("doc_id", langid.held_out(F.col("doc_id")).alias("h"), "judged").collect()}
     assert {i for i, g in got.items() if i is not None and i < 900 and g[0]} == held
     assert np.mean([got[i][1] == l for i, _, l, _ in rows if i in held]) > 0.95
@@ -170,7 +170,7 @@ def test_gradients():
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
     ids, mask = langid._padded([b"hello", b"abc", b"zz"])
     target = np.array([0, 1, 2])
-    _, g = net.gradients(ids, mask, target)
+    _, g, _ = net.gradients(ids, mask, target)
     for k, v in net.w.items():
         at = (104, 3) if k == "emb" else tuple(s // 2 for s in v.shape)
         old, step = v[at], 1e-4
@@ -181,7 +181,45 @@ def test_gradients():
         v[at] = old
         assert (up - down) / (2 * step) == pytest.approx(g[k][at], abs=1e-5)
     p, _ = net.forward(ids, mask)
-    assert net.word_sums([b"hello", b"abc", b"zz"]) == pytest.approx((p * mask[:, :, None]).sum(axis=1), abs=1e-4)
+    assert net.sums([b"hello", b"abc", b"zz"]) == pytest.approx((p * mask[:, :, None]).sum(axis=1), abs=1e-4)
+
+
+def brute_sums(net, text):
+    """One pass over all bytes in each direction, byte by byte, in double precision."""
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n, size = len(text), langid.HIDDEN
+    states = {}
+    for d, order in (("f", range(n)), ("b", range(n - 1, -1, -1))):
+        h, states[d] = np.zeros(size), np.zeros((n, size))
+        for i in order:
+            x, u = w["emb"][text[i]] @ w[d + "x"] + w[d + "b"], h @ w[d + "h"]
+            z, r = sigmoid(x[:size] + u[:size]), sigmoid(x[size : 2 * size] + u[size : 2 * size])
+            h = h + z * (np.tanh(x[2 * size :] + r * u[2 * size :]) - h)
+            states[d][i] = h
+    p = np.exp(np.concatenate([states["f"], states["b"]], axis=1) @ w["out"] + w["bias"])
+    return (p / p.sum(axis=1, keepdims=True)).sum(axis=0)
+
+
+@pytest.mark.parametrize(("piece", "run_up", "block"), [(8192, 512, 1 << 20), (40, 8, 1 << 20), (40, 8, 150), (16, 1, 64)])
+def test_state_runs_through_the_whole_text(monkeypatch, piece, run_up, block):
+    for name, value in (("PIECE", piece), ("RUN_UP", run_up), ("BLOCK", block)):
+        monkeypatch.setattr(langid, name, value)
+    net = langid.Network.fresh(["a", "b", "c"], 4)
+    net.w["fb"][: langid.HIDDEN] -= 3  # long memory: a guess from a short run-up is wrong
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"abc def\xc3\xa9") for _ in range(n)) for n in (1, 700, 39, 40, 41, 333, 80, 5)]
+    got = net.sums(texts)
+    for text, row in zip(texts, got):
+        assert row == pytest.approx(brute_sums(net, text), abs=2e-3 * len(text) ** 0.5)
+        assert row.sum() == pytest.approx(len(text), rel=1e-4)
+
+
+def test_sample_of_repeated_ids(spark, docs_of):
+    rows = [(3, f"{'schung ' * 9}{i}", "aa", "s") for i in range(5000)] + [(i, "eau ment", "bb", "s") for i in range(3000)]
+    found = langid.sample(docs_of(rows), per_label=50)
+    assert sum(label == "aa" for _, label in found) == 50 and {t for t, label in found if label == "bb"} == {"eau ment"}
+    assert sum(len(t) for t, label in langid.sample(docs_of(rows), sample_bytes=300) if label == "aa") <= 300
 
 
 def test_nothing_learned(spark, docs_of):
