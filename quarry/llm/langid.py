@@ -46,12 +46,12 @@ UND = "und"
 PER_LABEL = 150
 SAMPLE_BYTES = 500_000
 WINDOW = 128
-HIDDEN = 12
+HIDDEN = 10
 EMBED = 10
 #: Bytes of a piece, of a run-up, and of what is run at once.
 PIECE = 8192
 RUN_UP = 512
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 TOLERANCE = 1e-4
 
 
@@ -142,32 +142,32 @@ class Network:
         return loss, g, {"f": both[:, -1, :HIDDEN], "b": both[:, 0, HIDDEN:]}
 
     def sweep(self, ids: np.ndarray, sizes: np.ndarray, d: str, start: np.ndarray, logits: np.ndarray | None = None) -> np.ndarray:
-        """The end states (HIDDEN, n) of rows run from ``start``; ids: (t, n) bytes, sizes descending. Adds to logits (t, labels, n)."""
-        table, wh = self.table(d), self.w[d + "h"].T.copy()
+        """The end states (HIDDEN, n) of rows run from ``start``; ids: (t, n) bytes, sizes descending. Fills logits (t, labels, n)."""
+        half = np.repeat(np.float32([0.5, 0.5, 1]), HIDDEN)[:, None]  # a sigmoid is half of 1 + tanh of half its argument
+        table = np.ascontiguousarray((self.table(d) * half).T)
+        wh = self.w[d + "h"].T * np.float32(0.5)
         out = np.ascontiguousarray((self.w["out"][:HIDDEN] if d == "f" else self.w["out"][HIDDEN:]).T)
         h = np.array(start, np.float32, order="C")
         t = len(ids)
-        alive = np.searchsorted(-sizes, -np.arange(t), side="left")  # rows longer than i
+        alive = np.searchsorted(-sizes, -np.arange(t), side="left").tolist()  # rows longer than i
         for i in range(t) if d == "f" else range(t - 1, -1, -1):
-            m = int(alive[i])
+            m = alive[i]
             was = h[:, :m]
-            u, x = wh @ was, table.take(ids[i, :m], axis=1)
-            gates = x[: 2 * HIDDEN]
+            u, x = wh @ was, np.ascontiguousarray(table.take(ids[i, :m], axis=0).T)
+            gates, c = x[: 2 * HIDDEN], x[2 * HIDDEN :]
             gates += u[: 2 * HIDDEN]
-            gates *= 0.5
             np.tanh(gates, out=gates)
             gates += 1
-            gates *= 0.5
-            c = x[2 * HIDDEN :]
             u = u[2 * HIDDEN :]
             u *= gates[HIDDEN:]
             c += u
             np.tanh(c, out=c)
             c -= was
             c *= gates[:HIDDEN]
+            c *= 0.5
             was += c
             if logits is not None:
-                logits[i, :, :m] += out @ was
+                logits[i, :, :m] = out @ was
         return h
 
     def table(self, d: str) -> np.ndarray:
@@ -257,7 +257,6 @@ class _Pieces:
                     continue
                 whole = len(at) == len(who)
                 part = logits[g] if whole else np.zeros((len(ids), len(self.net.labels), len(at)), np.float32)
-                part[:] = 0
                 end[:, who[at]] = self.net.sweep(ids if whole else ids[:, at], sizes[at], d, start[:, who[at]], part)
                 if not whole:
                     logits[g][:, :, at] = part
