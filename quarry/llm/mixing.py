@@ -4,23 +4,28 @@ Sizes are word counts. Every source gets a target number of words from its
 weight; a target stops at ``ceiling`` times the source's size and the excess
 goes to the other sources by weight (water filling). A source whose target is
 r times its size takes floor(r) whole copies of each document for certain. The
-rest is a fixed-size sample in Pareto order: documents are ranked by the random
-odds u/(1-u) over the inclusion odds p/(1-p) and taken if they fit in the words
-left over; those that do not are passed over. When none fits any more, the one
-whose size is nearest to what still lacks is taken too if that brings the source
-nearer its target.
-
-u is a hash of the id, the text and a seed, so reruns agree. The cut is found
-from sums per source and bin of the rank, so no source is sorted in one task;
-it is found again for what lacks behind it until no document fits.
+rest is a fixed-size sample, unequal in probability: a document's inclusion
+probability p is proportional to its size, cut at 1, such that the expected words
+are those left over. Documents with p = 1 are taken first; the others are ranked
+by the random odds u/(1-u) over the inclusion odds p/(1-p) and taken if they fit
+in the words left; those that do not are passed over. When none fits any more,
+the one whose size is nearest to what still lacks is taken too if that brings the
+source nearer its target.
+
+u is a hash of the id, the text and a seed, so reruns agree. The factor of
+proportion comes from a source's distinct sizes, the cut from sums per source and
+bin of the rank, so no source is sorted in one task; the cut is found again for
+what lacks behind it until no document fits.
 
 Defined results:
 - null text: size 0; such rows take no words;
 - null source: a source of its own, ordered last;
 - null id: allowed, u then depends on the text alone;
 - repeated rows: each counts as a document; equal rows at the cut are told apart by their order only;
+- ties in rank: by id, then by hash of the text;
+- very long texts: only counted and hashed; one too long for what lacks is passed over or, with p = 1, taken;
 - empty table: empty result; a source of size 0 has target 0;
-- other columns are not read.
+- other columns are not read by ``mix``; ``apply_mix`` keeps them; if one is named ``copy_no``, the counter is ``copy_no_1``.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ WEIGHTS = (1, 2, 3)
 CEILING = 3.0
 #: Bins of the rank per source. A bin of a source is the most that one task sorts.
 BINS = 1 << 16
+#: A table of up to this many sources (about 4 MB) is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -88,6 +95,29 @@ def _level(table: DataFrame, ceiling: float) -> float:
         level = now
 
 
+def chance(size: Column, factor: Column) -> Column:
+    """A document's inclusion probability in what whole copies leave over; a null factor takes all."""
+    return F.least(F.lit(1.0), F.coalesce(factor * size, F.lit(1.0)))
+
+
+def _with_factor(sized: DataFrame, sources: DataFrame) -> DataFrame:
+    """sources with ``factor``: the expected words of documents taken with probability min(1, factor x size) are ``rest``.
+
+    If all sizes over s are certain, factor = (rest - words over s) / (squares up to s); the largest s for which that
+    leaves s uncertain is the right one. Only the distinct sizes of a source are sorted.
+    """
+    spread = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    words, squares = F.col("size").cast("double") * F.col("n"), F.col("size").cast("double") * F.col("size") * F.col("n")
+    down = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    up = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    spread = spread.withColumn("over", F.coalesce(F.sum(words).over(down), F.lit(0.0))).withColumn("squares", F.sum(squares).over(up))
+    narrow = sources.select(F.col("of").alias("s"), "rest")
+    tried = spread.join(F.broadcast(narrow) if sources.count() <= BROADCAST_SOURCES else narrow, F.col("source").eqNullSafe(F.col("s")))
+    tried = tried.withColumn("factor", (F.col("rest") - F.col("over")) / F.col("squares")).where("rest > over and factor * size < 1")
+    best = tried.groupBy("source").agg(F.max_by("factor", "size").alias("factor"))
+    return sources.join(best, sources["of"].eqNullSafe(best["source"]), "left").drop("source")
+
+
 def _fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs with ``fits``, true up to the first of a source that exceeds its ``gap``; and what each source then lacks."""
     # Words per bin, running over the bins of a source: the bin in which the gap is reached.
@@ -121,14 +151,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = sources.select("sno", F.col("source").alias("of"), "source_size", "target", F.floor(ratio + F.lit(1e-9)).alias("sure"))
     sources = sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("sure") * F.col("source_size")))
-    sources = sources.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(0.0))
+    sources = materialize(_with_factor(sized, sources), "factors")
 
     u = (F.shiftrightunsigned("draw", 12).cast("double") + 0.5) / F.lit(float(1 << 52))
     known = sized.join(sources, sized["source"].eqNullSafe(sources["of"])).drop("of")
-    odds, chance = u / (1 - u), F.col("p") / (1 - F.col("p"))
-    rank = F.when((F.col("p") > 0) & (F.col("p") < 1), odds / chance)
-    known = known.withColumn("q", rank).withColumn("bin", F.floor(F.col("q") / (1 + F.col("q")) * bins).cast("int"))
-    known = materialize(known.drop("draw", "p").withColumn("row", F.monotonically_increasing_id()), "known")
+    p = chance(F.col("size"), F.col("factor"))
+    rank = F.when((F.col("rest") <= 0) | (F.col("size") == 0), None).when(p >= 1, 0.0).otherwise(u / (1 - u) / (p / (1 - p)))
+    bin_of = F.when(p >= 1, -1).otherwise(F.floor(F.col("q") / (1 + F.col("q")) * bins)).cast("int")
+    known = known.withColumn("q", rank).withColumn("bin", bin_of).drop("factor")
+    known = materialize(known.drop("draw").withColumn("row", F.monotonically_increasing_id()), "known")
 
     marked, lack = _fill(known.where("q is not null").withColumn("gap", F.col("rest")))
     behind, later, lacks = marked, [], lack
@@ -161,7 +192,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it; ``copy_no`` counts from 1."""
+    """docs with each row repeated as often as the mix takes it; ``copy_no`` (the first free of copy_no, copy_no_1, ...) counts from 1."""
+    names = {c.lower() for c in docs.columns}
+    counter = next(n for n in ("copy_no", *(f"copy_no_{i}" for i in range(1, len(names) + 2))) if n not in names)
     plan = mix(docs, id_col, text_col, **kwargs)
     source_col = kwargs.get("source_col", "source")
     keys = plan.groupBy(F.col("id").alias("k_id"), F.col("text_hash").alias("k_hash"), F.col("source").alias("k_source"))
@@ -174,4 +207,4 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     uneven = joined.where("low <> high").withColumn("n", number)
     uneven = uneven.select("row", (F.col("low") + (F.col("n") <= F.col("sum") - F.col("low") * F.col("rows")).cast("long")).alias("copies"))
     both = plain.unionByName(uneven).where("copies > 0")
-    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_no")).select("row.*", "copy_no")
+    return both.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_no")).select("row.*", F.col("copy_no").alias(counter))

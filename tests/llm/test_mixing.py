@@ -84,3 +84,29 @@ def test_long_documents_at_the_cut_are_passed_over(spark, docs_of):
         for s in "abcd":
             mine = [r for r in found if r["source"] == s]
             assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 1, (seed, s)
+
+
+def brute_chances(sizes, rest):
+    """min(1, factor x size) by bisection."""
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1, mid * s) * s for s in sizes) < rest else (low, mid)
+    return [min(1, high * s) for s in sizes]
+
+
+def test_inclusion_follows_each_documents_probability(spark):
+    """Many sources with the same sizes are so many draws: each size comes as often as its probability says."""
+    sizes = ([1] * 8 + [2] * 4 + [3, 3, 4, 4, 12]) * 25
+    rows = [(1000 * s + i, " ".join(["w"] * n), f"{s:05d}") for s in range(60) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, weights=(1, 3)).groupBy("size", (F.col("source").cast("int") % 2).alias("odd")).agg(F.avg("copies").alias("r")).collect()
+    expected = dict(zip(sizes, brute_chances(sizes, sum(sizes) / 2)))
+    assert expected[12] == 1 and expected[1] < 0.13
+    for r in found:  # half of a source's words, and one and a half
+        assert r["r"] - r["odd"] == pytest.approx(expected[r["size"]], abs=0.03), (r["odd"], r["size"])
+
+
+def test_clashing_counter(spark, docs_of):
+    docs = docs_of([(1, "a b", "en", "s")]).withColumn("Copy_No", F.lit(9))
+    assert [(r["Copy_No"], r["copy_no_1"]) for r in mixing.apply_mix(docs).collect()] == [(9, 1)]
