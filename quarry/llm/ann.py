@@ -1,24 +1,27 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
 Each vector is cut in two halves, each half quantised to its nearest of ``k``
-centroids (k-means in numpy on a bounded sample, by a hash of the id); the pair
-of centroids is the vector's cell. A query walks pairs of centroids in order of
-summed squared distance with a heap until the cells it has taken hold the
-``share`` of all entries. Those are reranked by exact Euclidean distance in
-double precision on the original vectors. Unless given, the share is measured:
-the smallest that reaches ``RECALL`` for queries drawn from the sample, against
-brute force over it. Data without structure need a large share, clustered data
-a small one.
-
-Every row is indexed. Equal vectors share an entry that lists the ids of its
-``top + 1`` smallest; the others cannot be among a query's ``top`` nearest,
-since ties go to smaller ids. Neighbouring cells are packed into parts of about
-``PART_ROWS`` entries (a larger cell is split over several). A query is sent to a
-part once, with the cells it wants there, and gets back its ``top`` best.
+centroids (k-means in numpy on a bounded sample, by a hash of the id; k grows
+with the square root of the rows); the pair of centroids is the vector's cell. A
+query walks pairs of centroids in order of summed squared distance with a heap
+until the cells it has taken hold the ``share`` of all entries. Every cell up to
+the summed distance reached is reranked by exact Euclidean distance in double
+precision on the original vectors. Unless given, the share is measured: the
+smallest that reaches ``RECALL`` for a bounded number of queries against brute
+force over all rows, so that it follows the data at their real number.
+
+Every row is indexed. Equal vectors share an entry that lists its ``top + 1``
+smallest distinct ids with their counts; the others cannot be among a query's
+``top`` nearest, since ties go to smaller ids. Neighbouring cells are packed into
+parts (a larger cell is split over several). A query is sent to a part once, with
+its walk's last distance, and gets back its ``top`` best; a task holds one part's
+entries and reads the queries in batches, however many they are.
 
 Defined results:
 - null or zero vectors and those with null or non-finite components take no part, nor do those whose length is not the commonest (of equally common lengths the larger);
 - null ids take no part; repeated ids are separate candidates, but never of a query with that id;
+- a query id that repeats with the same vector asks once, with different vectors once for each: its ranks then appear once per vector;
+- ties go to the smaller id; very long vectors only cost their length;
 - fewer candidates than ``top``: all that were found; empty table: empty result;
 - other columns are not read.
 """
@@ -29,20 +32,23 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import materialize
 
 TOP = 10
-#: Bounds of the sample on which centroids are fitted, and of the centroids.
+KEPT = pa.list_(pa.struct([("id", pa.int64()), ("many", pa.int32())]))
+#: Bounds of the sample on which centroids are fitted, and of the centroids of a half.
 SAMPLE_ROWS = 20_000
-MOST_CENTROIDS = 256
-RECALL = 0.96
-CALIBRATION_QUERIES = 200
-PART_ROWS = 4_096
+MOST_CENTROIDS = 1_024
+RECALL = 0.94
+CALIBRATION_QUERIES = 256
+#: Entries of a part: about a task's share of them, between these bounds.
+PART_ROWS = (1_024, 32_768)
+MOST_TASKS = 50_000
 
 
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -76,132 +82,192 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([distances(points[i : i + 4096], centres).argmin(axis=1) for i in range(0, len(points), 4096)]) if len(points) else np.zeros(0, np.int64)
 
 
-def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, want: int) -> list[int]:
-    """Cells in order of first[i] + second[j] until they hold ``want`` entries. held[i, j] counts a cell's entries."""
+def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, want: int) -> tuple[list[int], float]:
+    """Cells in order of first[i] + second[j] until they hold ``want`` entries, and the sum reached. held[i, j] counts a cell's entries."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap = [(first[a[0]] + second[b[0]], 0, 0)]
+    one, two, many = first[a].tolist(), second[b].tolist(), held[np.ix_(a, b)].tolist()
+    rows, columns, width = a.tolist(), b.tolist(), len(b)
+    heap = [(one[0] + two[0], 0, 0)]
     taken: list[int] = []
-    total = 0
+    total, reached = 0, 0.0
     while heap and total < want:
-        _, i, j = heapq.heappop(heap)
-        n = int(held[a[i], b[j]])
+        reached, i, j = heap[0]
+        if j + 1 < width:
+            heapq.heapreplace(heap, (one[i] + two[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if j == 0 and i + 1 < len(rows):
+            heapq.heappush(heap, (one[i + 1] + two[0], i + 1, 0))
+        n = many[i][j]
         if n:
-            taken.append(int(a[i]) * len(second) + int(b[j]))
+            taken.append(rows[i] * width + columns[j])
             total += n
-        if j + 1 < len(b):
-            heapq.heappush(heap, (first[a[i]] + second[b[j + 1]], i, j + 1))
-        if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (first[a[i + 1]] + second[b[0]], i + 1, 0))
-    return taken
+    return taken, reached
 
 
-def needed_share(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], top: int = TOP, recall: float = RECALL, queries: int = CALIBRATION_QUERIES) -> float:
-    """The share of entries that a query must see to find its nearest in ``recall`` of the cases, measured on points."""
-    half = books[0].shape[1]
-    a, b = nearest(points[:, :half], books[0]), nearest(points[:, half:], books[1])
-    held = np.zeros((len(books[0]), len(books[1])), np.int64)
-    np.add.at(held, (a, b), 1)
-    cell = a * len(books[1]) + b
-    needed: list[float] = []
-    for q in range(min(queries, len(points))):
-        d = ((points - points[q]) ** 2).sum(axis=1)
-        d[q] = np.inf
-        true = np.argsort(d, kind="stable")[: min(top, len(points) - 1)]
-        order = walk(distances(points[q : q + 1, :half], books[0])[0], distances(points[q : q + 1, half:], books[1])[0], held, len(points))
-        seen = dict(zip(order, np.cumsum([held[divmod(c, len(books[1]))] for c in order])))
-        needed += [seen[int(cell[i])] / len(points) for i in true]
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def needed_share(entries: DataFrame, points: np.ndarray, books: tuple[np.ndarray, np.ndarray], held: np.ndarray, top: int = TOP, recall: float = RECALL) -> float:
+    """The share of entries that points must see to find their nearest in ``recall`` of the cases: brute force over all entries."""
+    sent = entries.sparkSession.sparkContext.broadcast(points)
+
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, best = sent.value, None
+        own = (points * points).sum(axis=1)[:, None]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            d, cell = distances(points, _matrix(batch.column(0))), np.broadcast_to(np.asarray(batch.column(1)), (len(points), batch.num_rows))
+            d = np.where(d < 1e-9 * (1 + own), np.inf, d)  # the point itself
+            if best is not None:
+                d, cell = np.concatenate([best[0], d], axis=1), np.concatenate([best[1], cell], axis=1)
+            near = np.argsort(d, axis=1, kind="stable")[:, :top]
+            best = np.take_along_axis(d, near, axis=1), np.take_along_axis(cell, near, axis=1)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(points)), best[0].shape[1])), pa.array(best[0].ravel()), pa.array(best[1].ravel())], names=["q", "d", "cell"])
+
+    found = entries.select("v", "cell").mapInArrow(brute, "q long, d double, cell long").where("d < double('infinity')")
+    place = F.row_number().over(Window.partitionBy("q").orderBy("d"))
+    true = found.withColumn("n", place).where(F.col("n") <= top).groupBy("q").agg(F.collect_list("cell").alias("cells")).collect()  # CALIBRATION_QUERIES rows
+    half, total, needed = books[0].shape[1], int(held.sum()), []
+    for r in true:
+        point = points[r["q"] : r["q"] + 1]
+        sums = distances(point[:, :half], books[0])[0][:, None] + distances(point[:, half:], books[1])[0][None, :]
+        needed += [held[sums <= sums.flat[c]].sum() / total for c in r["cells"]]  # what a walk has taken when it reaches the cell
     return float(np.quantile(needed, recall)) if needed else 1.0
 
 
-def pack(sizes: dict[int, int], part_rows: int = PART_ROWS) -> dict[int, tuple[int, int]]:
-    """cell -> (first part, number of parts): small neighbours share a part, a large cell has several."""
-    placed, part, room = {}, -1, 0
-    for cell in sorted(sizes):
-        n = sizes[cell]
+def pack(held: np.ndarray, part_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per cell the first of its parts and their number: small neighbours share a part, a large cell has several."""
+    first, splits, part, room = np.zeros(held.size, np.int64), np.ones(held.size, np.int64), -1, 0
+    for cell in np.flatnonzero(held):
+        n = int(held.flat[cell])
         if n > part_rows:
-            splits = -(-n // part_rows)
-            placed[cell], part, room = (part + 1, splits), part + splits, 0
+            splits[cell] = -(-n // part_rows)
+            first[cell], part, room = part + 1, part + splits[cell], 0
             continue
         if n > room:
             part, room = part + 1, part_rows
-        placed[cell] = (part, 1)
+        first[cell] = part
         room -= n
-    return placed
+    return first, splits
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 100, top: int = TOP, share: float | None = None, centroids: int | None = None, sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 100, top: int = TOP, share: float | None = None, centroids: int | None = None, sample_rows: int = SAMPLE_ROWS, part_rows: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the nearest found of every row whose id is divisible by query_every."""
     spark = vectors.sparkSession
     rows = materialize(valid(vectors, id_col, vector_col), "vectors")
-    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()  # at most sample_rows
-    if not len(drawn):
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toArrow()  # at most sample_rows
+    if not drawn.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    points = np.array(drawn["v"].tolist())
+    points = _matrix(drawn.column(0).combine_chunks())
     half = (points.shape[1] + 1) // 2
-    k = centroids or int(min(MOST_CENTROIDS, max(4, np.sqrt(len(points)) / 4)))
-    books = (kmeans(points[:, :half], k), kmeans(points[:, half:], k) if half < points.shape[1] else np.zeros((1, 0)))
-    share = needed_share(points, books, top) if share is None else share
-    sent = spark.sparkContext.broadcast(books)
 
     # Entries: distinct vectors with their smallest ids. The limit per group is applied before the shuffle too.
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    few = rows.withColumn("n", place).where(F.col("n") <= top + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    counted = rows.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(top)).cast("int").alias("many"))
+    few = counted.withColumn("n", place).where(F.col("n") <= top + 1).groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "many"))).alias("ids"))
+    few = materialize(few, "distinct")
+    total = few.count()
+    k = centroids or int(min(MOST_CENTROIDS, len(points), max(4, np.sqrt(total))))
+    books = (kmeans(points[:, :half], k), kmeans(points[:, half:], k) if half < points.shape[1] else np.zeros((1, 0)))
+    sent = spark.sparkContext.broadcast(books)
 
     def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = sent.value
         for batch in batches:
-            if batch.num_rows:
-                v = np.array(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+            v = _matrix(batch.column(0))
+            if len(v):
                 cell = nearest(v[:, :half], one) * len(two) + nearest(v[:, half:], two)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int64))], names=["v", "ids", "cell"])
 
-    entries = materialize(few.select("v", "ids").mapInArrow(quantise, "v array<double>, ids array<long>, cell long"), "entries")
-    sizes = {r["cell"]: r["n"] for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row per cell, at most MOST_CENTROIDS squared
+    entries = materialize(few.mapInArrow(quantise, "v array<double>, ids array<struct<id:long,many:int>>, cell long"), "entries")
     held = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for cell, n in sizes.items():
-        held[divmod(cell, len(books[1]))] = n
-    parts = pack(sizes, part_rows)
-    tables = spark.sparkContext.broadcast((held, parts, max(1, int(np.ceil(share * held.sum())))))
+    for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row per cell, at most MOST_CENTROIDS squared
+        held.flat[r["cell"]] = r["n"]
+    share = needed_share(entries, points[:CALIBRATION_QUERIES], books, held, top) if share is None else share
+    tasks = spark.sparkContext.defaultParallelism
+    part_rows = part_rows or int(min(max(total // (2 * tasks), PART_ROWS[0]), PART_ROWS[1]))
+    first, splits = pack(held, part_rows)
+    tables = spark.sparkContext.broadcast((held, first, splits, max(1, int(np.ceil(share * total)))))
+
+    def place_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first, splits, _ = tables.value
+        for batch in batches:
+            cell, spread = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            part = first[cell] + spread % splits[cell]
+            none = pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(part), none[0], *batch.columns[:3], none[1]], names=["part", "query_id", "v", "ids", "cell", "reached"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = sent.value
-        held, parts, want = tables.value
+        held, first, splits, want = tables.value
         for batch in batches:
-            v = np.array(batch.column(1).flatten()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 0))
+            v = _matrix(batch.column(1))
             for i, q in enumerate(batch.column(0).to_pylist()):
-                wanted: dict[int, list[int]] = {}
-                for c in walk(distances(v[i : i + 1, :half], one)[0], distances(v[i : i + 1, half:], two)[0], held, want):
-                    first, splits = parts[c]
-                    for p in range(first, first + splits):
-                        wanted.setdefault(p, []).append(c)
+                cells, reached = walk(distances(v[i : i + 1, :half], one)[0], distances(v[i : i + 1, half:], two)[0], held, want)
+                cells = np.array(cells)
+                whole = cells[splits[cells] == 1]
+                wanted = np.unique(np.concatenate([first[whole], *(np.arange(first[c], first[c] + splits[c]) for c in cells[splits[cells] > 1])]))
                 n = len(wanted)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([q] * n, pa.int64()), pa.array([v[i]] * n, pa.list_(pa.float64())), pa.array(list(wanted.values()), pa.list_(pa.int64())), pa.array(list(wanted), pa.int64())],
-                    names=["query_id", "q", "cells", "part"],
+                    [pa.array(wanted), pa.array([q] * n, pa.int64()), pa.array([v[i]] * n, pa.list_(pa.float64())), pa.nulls(n, KEPT), pa.nulls(n, pa.int64()), pa.array([reached] * n, pa.float64())],
+                    names=["part", "query_id", "v", "ids", "cell", "reached"],
                 )
 
-    asked = rows.where(F.col("id") % query_every == 0).select("id", "v").distinct().repartition(spark.sparkContext.defaultParallelism)
-    probes = asked.mapInArrow(probe, "query_id long, q array<double>, cells array<long>, part long")
-    where = spark.createDataFrame([(c, p, n) for c, (p, n) in parts.items()], "cell long, first long, splits long")
-    dealt = entries.join(F.broadcast(where), "cell").select("v", "ids", "cell", (F.col("first") + F.pmod(F.xxhash64("v"), "splits")).alias("part"))
-
-    def rerank(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(left) and len(right):
-            held, _, _ = tables.value
-            vectors, cell, ids = np.array(right["v"].tolist()), right["cell"].to_numpy(), right["ids"].tolist()
-            for q, v, cells in zip(left["query_id"], left["q"], left["cells"]):
-                wanted = np.zeros(held.size, bool)
-                wanted[cells] = True
-                at = np.flatnonzero(wanted[cell])
-                d = np.sqrt(((vectors[at] - np.asarray(v)) ** 2).sum(axis=1))
+    schema = "part long, query_id long, v array<double>, ids array<struct<id:long,many:int>>, cell long, reached double"
+    spread = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
+    dealt = entries.select("v", "ids", "cell", spread.alias("spread")).mapInArrow(place_entries, schema)
+    asked = rows.where(F.col("id") % query_every == 0).select("id", "v").distinct().repartition(tasks)
+    both = dealt.unionByName(asked.mapInArrow(probe, schema))
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each part's entries come first, then its queries."""
+        one, two = sent.value
+        part, waiting, ready = None, [], None
+
+        def answer(queries: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal ready
+            if ready is None:
+                v, cell = np.concatenate([x[0] for x in waiting]), np.concatenate([x[1] for x in waiting])
+                ready = v, cell // len(two), cell % len(two), [ids for x in waiting for ids in x[2].to_pylist()]
+            entries, a, b, ids = ready
+            asked = _matrix(queries.column(2))
+            to_one, to_two = distances(asked[:, :half], one), distances(asked[:, half:], two)
+            reached = np.asarray(queries.column(5))
+            limit = reached + 1e-9 * (1 + np.abs(reached) + (asked * asked).sum(axis=1))  # rounding only lets in more
+            out: list[tuple[int, int, int, float]] = []
+            for i, q in enumerate(queries.column(1).to_pylist()):
+                at = np.flatnonzero(to_one[i][a] + to_two[i][b] <= limit[i])
+                d = np.sqrt(((entries[at] - asked[i]) ** 2).sum(axis=1))
                 # One entry may hold the query alone, so one more distance is let in.
                 cut = np.partition(d, top)[top] if len(d) > top + 1 else np.inf
-                near = np.flatnonzero(d <= cut)
-                found = [(float(d[i]), int(x)) for i in near for x in ids[at[i]] if x != q]
-                out += [(int(q), x, s) for s, x in heapq.nsmallest(top, found)]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+                mark = xxhash.xxh64_intdigest(asked[i].tobytes()) >> 1
+                found = [(float(d[j]), x["id"]) for j in np.flatnonzero(d <= cut) for x in ids[at[j]] if x["id"] != q for _ in range(x["many"])]
+                out += [(q, mark, x, s) for s, x in heapq.nsmallest(top, found)]
+            columns = list(zip(*out)) if out else [()] * 4
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.float64()
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["query_id", "mark", "id", "score"])
+
+        for batch in batches:
+            parts = np.asarray(batch.column(0))
+            entry = np.asarray(batch.column(1).is_null())
+            cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (entry[1:] != entry[:-1])) + 1 if len(parts) else np.zeros(0, int)
+            for a, b in zip([0, *cuts], [*cuts, len(parts)]):
+                if a == b:
+                    continue
+                if parts[a] != part:
+                    part, waiting, ready = parts[a], [], None
+                some = batch.slice(a, b - a)
+                if entry[a]:
+                    waiting.append((_matrix(some.column(2)), np.asarray(some.column(4)), some.column(3)))
+                else:
+                    for at in range(0, some.num_rows, 1024):
+                        yield answer(some.slice(at, 1024))
 
-    found = probes.groupBy("part").cogroup(dealt.groupBy("part")).applyInPandas(rerank, "query_id long, id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
+    parts = int((first + splits).max())
+    found = both.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part", F.col("query_id").isNotNull()).mapInArrow(rerank, "query_id long, mark long, id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "id", "score")
