@@ -2,16 +2,26 @@
 
 Payload headers (digest, length, id) are shuffled by digest; of equal payloads
 of at least ``least`` bytes the row with the largest id becomes the response
-and the others become revisit records that refer to it. Records get fresh
-headers and go through Spark's own file writer, so archives are committed once
-even if executors are lost, on whatever store holds the folder. Reading parses
-records by Content-Length, shuffles revisits and responses by payload digest
-and joins each revisit to its original.
+and the others become revisit records that refer to it. Only the headers of
+revisits are joined back to the pages, by id and digest, so a payload moves once
+at most. Records get fresh headers.
+
+Each record is a gzip member of its own, each partition starts with a warcinfo
+record, and files roll at about ``FILE_BYTES`` of payload. Members go through
+Spark's own file writer, so archives are committed once even if executors are
+lost, on whatever store holds the folder; between them the writer sets its line
+separator, an empty gzip member, which readers of archives pass over and at which
+Spark's reader can split a file of any size. ``publish`` gives the files the usual
+names; archives so named, or from elsewhere, are read whole, one at a time.
+
+Reading parses records by Content-Length, shuffles revisits and responses by
+payload digest and joins each revisit to its original.
 
 Defined results:
 - null html: the empty payload; null url: a urn made from the id;
 - null id: such rows are responses and never another row's original;
-- repeated rows: copies of the row with the largest id are all responses;
+- repeated rows: copies of the row with the largest id (the tie) are all responses;
+- very long payloads: up to what one string value may hold; a task holds a batch of them;
 - empty table: no archive rows, an empty result;
 - other columns are not read.
 """
@@ -21,17 +31,24 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 LEAST = 1000
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records per archive file, so that one file fits in a task's memory.
-RECORDS_PER_FILE = 500
+#: Payload bytes of a file, by the mean size of its records.
+FILE_BYTES = 1 << 28
+#: The empty gzip member.
+SEPARATOR = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+#: How Spark's text files are told to use it: as raw bytes.
+RAW = {"lineSep": SEPARATOR.decode("latin-1"), "encoding": "ISO-8859-1"}
 PARSED = "page_id long, record_type string, record_id string, refers_to_id string, payload_digest string, declared_bytes long, payload_bytes long, payload_sha1 string, target_uri string, payload string"
 
 
@@ -40,12 +57,17 @@ def headers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("html"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
 
 
-def resolve(heads: DataFrame, least: int = LEAST) -> DataFrame:
-    """heads with record_type and refers_to. Only ids and digests are aggregated; the join splits on skew."""
-    first = heads.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1")
-    joined = heads.join(first.select("payload_digest", "original"), "payload_digest", "left")
-    again = F.col("original").isNotNull() & (F.col("page_id") < F.col("original"))
-    return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("original"))).drop("original")
+def revisits(heads: DataFrame, least: int = LEAST) -> DataFrame:
+    """(page_id, payload_digest, refers_to) of the rows that refer to another. Only ids and digests are shuffled; the join splits on skew."""
+    known = heads.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
+    first = known.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return known.join(first, "payload_digest").where("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+
+
+def resolve(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """rows with record_type and refers_to."""
+    joined = rows.join(again, ["page_id", "payload_digest"], "left")
+    return joined.withColumn("record_type", F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response"))
 
 
 def record_id(page_id: Column) -> Column:
@@ -57,7 +79,7 @@ def record_id(page_id: Column) -> Column:
 
 
 def record_text(rows: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
-    """One text value per record, without the final blank lines."""
+    """One text value per record, with the final blank lines."""
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
@@ -76,14 +98,51 @@ def record_text(rows: DataFrame, date: str = "2026-01-01T00:00:00Z") -> DataFram
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(CRLF),
         block,
+        F.lit(CRLF * 2),
     )
     return rows.select(text.alias("value"))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST, records_per_file: int = RECORDS_PER_FILE, **columns: str) -> None:
-    """Write one record per row of pages under path, gzip-compressed."""
-    rows = resolve(headers(pages, **columns), least)
-    record_text(rows).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+def member(record: bytes) -> bytes:
+    """One gzip member. UTF-8 text cannot hold the separator, nor, but for a chance of 2^-160, its compressed form."""
+    return next(m for m in (gzip.compress(record, level, mtime=0) for level in (6, 9, 1)) if SEPARATOR not in m)
+
+
+def _info(date: str) -> bytes:
+    block = f"format: WARC File Format 1.1{CRLF}software: quarry{CRLF}"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return (CRLF.join(lines) + CRLF * 2 + block + CRLF * 2).encode()
+
+
+def write(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE_BYTES, date: str = "2026-01-01T00:00:00Z", **columns: str) -> None:
+    """Write one record per row of pages under path."""
+    rows = headers(pages, **columns)
+    heads = materialize(rows.select("page_id", "payload_bytes", "payload_digest"), "heads")
+    mean = heads.agg(F.avg("payload_bytes")).first()[0] or 1.0
+    again = materialize(revisits(heads, least), "revisits")
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = True
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                records = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(0).slice(at, 256)]
+                packed = [member(r) for r in ([_info(date), *records] if fresh else records)]
+                fresh = False
+                yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], names=["value"])
+
+    packed = record_text(resolve(rows, again), date).mapInArrow(members, "value binary").select(F.col("value").cast("string"))
+    packed.write.options(**RAW, maxRecordsPerFile=max(1, int(file_bytes / max(mean, 1.0)))).text(path)
+
+
+def publish(spark: SparkSession, path: str) -> None:
+    """Give the files of a finished ``write`` names that end in .warc.gz."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("part-") and name.endswith(".txt"):
+            store.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.gz"))
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
@@ -101,6 +160,9 @@ def parse(data: bytes, with_payload: bool = False) -> Iterator[tuple]:
         block = data[begin : begin + size]
         if len(block) != size:
             raise ValueError("the archive ends inside a record")
+        at = begin + size + 4
+        if fields[b"warc-type"] not in (b"response", b"revisit"):
+            continue
         head, _, payload = block.partition(b"\r\n\r\n")
         declared = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", head)
         text = lambda name: fields[name].decode("utf-8") if name in fields else None
@@ -118,7 +180,6 @@ def parse(data: bytes, with_payload: bool = False) -> Iterator[tuple]:
             text(b"warc-target-uri"),
             payload.decode("utf-8") if own and with_payload else None,
         )
-        at = begin + size + 4
 
 
 def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
@@ -127,14 +188,22 @@ def read(spark: SparkSession, path: str, with_payload: bool = False) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):  # one archive at a time
+            rows: list[tuple] = []
+            for content in batch.column(0):  # a member or an archive
                 data = content.as_py()
-                rows = list(parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, with_payload))
-                columns = list(zip(*rows)) if rows else [()] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, PARSED)
+                rows += parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data, with_payload)
+                if len(rows) >= 256:
+                    yield pack(rows)
+                    rows = []
+            yield pack(rows)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds])
+
+    members = spark.read.options(**RAW, pathGlobFilter="part-*.txt").text(path).select(F.col("value").cast("binary").alias("content"))
+    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content")
+    return members.unionByName(archives).mapInArrow(run, PARSED)
 
 
 def resolved(records: DataFrame) -> DataFrame:
