@@ -4,13 +4,18 @@ Every DOM node gets a link-adjusted density: characters per tag, scaled down
 where much of its text is link text. The densities of a node's children are
 summed, and the node with the largest sum holds the article. The smallest
 density on the path from body to that node is the threshold: the region grows
-to an enclosing article, or to a parent whose further text is headings or at
-least that dense. Elements that are boilerplate by what they are (menus,
-headers, footers, asides, forms, scripts, styles; adverts, notices, sidebars
-and reader comments by role, class or id) count for nothing. A form, or what
-only a class or id speaks against, stays if it holds the article: an article or
-main element, or most of the page's text outside links, and no other article or
-main element stands beside it. Then what is boilerplate inside it is left out.
+to an enclosing article or main element, or to a parent whose further text is
+headings or at least that dense; and lists and other groups of links inside it
+that are under the threshold are pruned.
+
+Elements that are boilerplate by what they are (menus, headers, footers, asides,
+forms, scripts, styles; adverts, notices and others by role) count for nothing.
+A class or id that names boilerplate, on whatever element, is evidence: the text
+of such an element counts for ``WEIGHTS``, less if the name is one word by itself
+("comment") than if it is part of another ("share-price"). The element stays if
+it holds an article or main element without such a name, or if its weighted text
+outside links is over half of that of its surroundings, and no other article
+stands beside it. A form is treated like a compound name.
 
 Blocks are joined in page order by two newlines; white space inside a block
 becomes one space.
@@ -19,6 +24,7 @@ Defined results:
 - null or empty html, or no text left: the empty text, 0 characters;
 - broken markup: tags are closed as browsers do for paragraphs, list items and table parts; an unclosed element ends with its parent; cut-off tags are dropped;
 - very long pages: time and memory grow in proportion;
+- ties between sums: the outer, earlier node;
 - null ids and urls are kept; repeated rows: each is returned; empty table: empty result;
 - other columns are not read.
 """
@@ -44,7 +50,8 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Which open element a start tag closes, and what stops the search for it.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot"}, "tfoot": {"tbody", "thead"}, "thead": {"tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}, "thead": {"table"}}
-KEPT = frozenset("html body main article h1 p".split())
+KEPT = frozenset("html body main h1".split())
+GROUPS = frozenset("ul ol dl div section table tbody tr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -52,6 +59,9 @@ HINTS = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login pagination pager skip".split()
 )
 
+#: What a character counts in an element that a class or id speaks against: as part of a name, as a name by itself.
+WEIGHTS = (1.0, 1.0, 0.25)
+
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?""")
@@ -65,19 +75,23 @@ def _attributes(attrs: str) -> dict[str, str]:
     return found
 
 
-def _hinted(found: dict[str, str]) -> bool:
-    return any(not HINTS.isdisjoint(_SPLIT.split(found[name])) for name in ("class", "id") if name in found)
+def _hinted(found: dict[str, str]) -> int:
+    """How a class or id speaks against the element: 0 not at all, 1 as part of a name, 2 as a name by itself."""
+    names = [n for at in ("class", "id") if at in found for n in found[at].split()]
+    if any(n in HINTS for n in names):
+        return 2
+    return int(any(not HINTS.isdisjoint(_SPLIT.split(n)) for n in names))
 
 
-def _unwanted(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether the element is boilerplate for certain, and whether it is unless it holds the article."""
+def _unwanted(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether the element is boilerplate for certain, and how doubtful it is else."""
     if tag in DROPPED and tag != "form":
-        return True, False
+        return True, 0
     if tag in KEPT or not attrs.strip():
-        return False, tag == "form"
+        return False, int(tag == "form")
     found = _attributes(attrs)
     sure = "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES
-    return sure, tag == "form" or _hinted(found)
+    return sure, max(int(tag == "form"), _hinted(found))
 
 
 class _Tree:
@@ -86,7 +100,7 @@ class _Tree:
     def __init__(self) -> None:
         self.parent, self.tag, self.chars, self.link_chars, self.tags, self.link_tags = [-1], ["#root"], [0], [0], [0], [0]
         self.text: list[tuple[int, str | None]] = []
-        self.doubtful, self.article = [False], [False]
+        self.doubtful, self.article = [0], [False]
 
 
 def parse(page: str) -> _Tree:
@@ -168,7 +182,7 @@ def parse(page: str) -> _Tree:
             if above >= 0:
                 tree.tags[above] += 1
             continue
-        dropped, doubtful = (True, False) if above < 0 else _unwanted(tag, attrs)
+        dropped, doubtful = (True, 0) if above < 0 else _unwanted(tag, attrs)
         if attrs.endswith("/") and (dropped or doubtful) and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
@@ -211,13 +225,18 @@ def _left_out(tree: _Tree) -> list[bool]:
     n = len(tree.parent)
     plain = [a - b for a, b in zip(tree.chars, tree.link_chars)]
     own = plain[:]  # without the doubtful elements below
+    weighed = [0.0] * n  # what the outermost doubtful elements below count for
     articles = [0] * n  # in the subtree
     for i in range(n - 1, 0, -1):
         p = tree.parent[i]
         articles[i] += tree.article[i] and plain[i] > 0
         articles[p] += articles[i]
         plain[p] += plain[i]
-        own[p] += 0 if tree.doubtful[i] else own[i]
+        if tree.doubtful[i]:
+            weighed[p] += WEIGHTS[tree.doubtful[i]] * plain[i]
+        else:
+            own[p] += own[i]
+            weighed[p] += weighed[i]
     within = [0] * n  # the nearest doubtful element, the node itself included; 0: none
     around = [0] * n  # articles with text of their own that enclose the node
     beside = [0] * n  # such articles by nearest doubtful element; then also those of the elements around it
@@ -233,7 +252,8 @@ def _left_out(tree: _Tree) -> list[bool]:
         p = tree.parent[i]
         out[i] = out[p]
         if tree.doubtful[i]:
-            holds = articles[i] > 0 or 2 * plain[i] > plain[0]
+            around_it = within[p]  # the doubtful element around it, or the page
+            holds = articles[i] > 0 or 2 * WEIGHTS[tree.doubtful[i]] * plain[i] > own[around_it] + weighed[around_it]
             out[i] = out[i] or not holds or beside[within[p]] > around[p]
             beside[i] += beside[within[p]]
     return out
@@ -268,7 +288,7 @@ def extract(page: str | None) -> str:
     while path[-1] not in (body, 0):
         path.append(tree.parent[path[-1]])
     least = min(dense[i] for i in path)
-    inside = [i for i in path if tree.tag[i] in ("article", "main")]
+    inside = [i for i in path if tree.article[i]]
     region = inside[0] if inside else best
     if not inside:
         for up in path[1:]:
@@ -280,6 +300,9 @@ def extract(page: str | None) -> str:
             if extra > heads and rest < least:
                 break
             region = up
+    for i in range(region + 1, last[region] + 1):  # parents come first
+        links = tree.tag[i] in GROUPS and link_tags[i] > 1 and 2 * link_chars[i] > chars[i] and dense[i] < least
+        out[i] = out[i] or out[tree.parent[i]] or links
     blocks: list[str] = []
     now: list[str] = []
     for node, piece in tree.text:

@@ -1,3 +1,5 @@
+import glob
+import gzip
 import hashlib
 import random
 import zlib
@@ -22,7 +24,7 @@ def test_nearest_neighbours(spark):
     points[700:760] = points[0]  # a hot vector
     rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
     odd = [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [float("inf")] + [1.0] * 7), (2004, [1.0] * 3), (None, [1.0] * 8), (2100, [None] + [1.0] * 7)]
-    found = ann.search(vectors(spark, rows + odd), part_rows=300).collect()
+    found = ann.search(vectors(spark, rows + odd), part_rows=100).collect()
     exact = points.astype(np.float64)
     hit = 0
     for q in range(0, 1500, 100):
@@ -45,22 +47,41 @@ def test_few_or_no_vectors(spark):
     assert sorted((r["rank"], r["id"]) for r in few) == [(1, 1), (2, 1)]
 
 
+def test_equal_vectors_of_one_id(spark):
+    """A query whose own id holds the smallest places of its vector still finds the others."""
+    rows = [(100, [1.0, 1.0])] * 12 + [(101, [1.0, 1.0]), (102, [1.0, 2.0]), (103, [5.0, 5.0]), (103, [5.0, 5.0])]
+    found = ann.search(vectors(spark, rows)).collect()
+    assert sorted((r["rank"], r["id"], round(r["score"], 6)) for r in found) == [(1, 101, 0.0), (2, 102, 1.0), (3, 103, 5.656854), (4, 103, 5.656854)]
+    many = [(i, [2.0, 1.0]) for i in range(1, 40)] + [(200, [2.0, 1.0]), (200, [2.0, 3.0])]
+    found = ann.search(vectors(spark, many)).collect()  # a query id with two vectors asks with each
+    assert sorted((r["rank"], r["id"], r["score"]) for r in found) == sorted((i, i, s) for i in range(1, 11) for s in (0.0, 2.0))
+
+
 def test_walk_is_in_order():
     rng = np.random.default_rng(1)
     a, b = rng.random(7), rng.random(5)
-    cells = ann.walk(a, b, np.ones((7, 5), int), 35)
+    cells, reached = ann.walk(a, b, np.ones((7, 5), int), 35)
+    assert reached == max(a) + max(b)
     sums = [a[c // 5] + b[c % 5] for c in cells]
     assert sums == sorted(sums) and len(set(cells)) == 35
 
 
 # -- archives ------------------------------------------------------------------------------------------------
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("published", [False, True])
+def test_archives_round_trip(spark, published):
     big = "é" * 600
     trap = "x" * 1200 + "\r\n\r\n\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello"
     rows = [(1, "http://a/", big), (2, None, big), (5, "http://b/ c\r\n", big), (3, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", trap), (8, "u", trap), (None, "u", big), (9, "u", ""), (5, "http://b/", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("original", F.lit("clash")).withColumn("value", F.lit("clash"))
     path = fresh_path(spark, "warc")
-    warc.write(pages, path, records_per_file=2)
+    warc.write(pages.repartition(2), path, file_bytes=3000)
+    if published:
+        warc.publish(spark, path)
+        files = sorted(glob.glob(path.removeprefix("file://") + "/*.warc.gz"))
+        assert len(files) > 2
+        texts = [gzip.open(f).read() for f in files]  # ordinary readers see one stream of records
+        assert sum(t.count(b"WARC-Type: warcinfo") for t in texts) >= 2
+        assert sum(len(list(warc.parse(t))) for t in texts) == len(rows)
     records = warc.read(spark, path, with_payload=True)
     kept = {r["page_id"]: r["payload"] for r in records.where("record_type = 'response'").collect()}
     assert kept[5] == big and kept[8] == trap and kept[6] == "" and kept[3] == "small"
@@ -74,6 +95,22 @@ def test_archives_round_trip(spark):
     assert got == sorted(expected)
 
 
+def test_payloads_are_not_joined_by_digest(spark):
+    """Only headers are shuffled by digest; the pages meet the revisits by id and digest."""
+    pages = spark.createDataFrame([(i, "u", "x" * 1200 if i % 3 else "y" * i) for i in range(50)], "page_id long, url string, html string")
+    heads = warc.headers(pages)
+    plan = warc.revisits(heads)._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Join" in line or "Aggregate" in line]
+    assert shuffled and not any("html" in line for line in shuffled)
+    assert warc.revisits(heads).count() == sum(1 for i in range(50) if i % 3) - 1
+
+
+def test_separator_is_an_empty_member():
+    assert gzip.decompress(warc.SEPARATOR) == b""
+    both = warc.member(b"one") + warc.SEPARATOR + warc.member(b"two") + warc.SEPARATOR
+    assert gzip.decompress(both) == b"onetwo" and both.split(warc.SEPARATOR)[:2] == [warc.member(b"one"), warc.member(b"two")]
+
+
 def test_no_pages(spark):
     path = fresh_path(spark, "warc")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
@@ -119,6 +156,61 @@ def test_wrapped_articles_stay(page):
     assert htmltext.extract(page) == TEXT
 
 
+LONG = "Readers say more than the article does. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><main>{ARTICLE}<p class='advert'>Buy now</p></main>",
+        f"<body><main>{ARTICLE}<article class='comment'><p>{LONG}</p></article></main>",
+        f"<body><div id=main>{ARTICLE}</div><article class='comment'><p>{LONG}</p></article>",
+        f"<body><article>{ARTICLE}<article class='comment'><p>First</p></article><article class='comment'><p>Second</p></article></article>",
+        f"<body><p>Hm.</p><div class='share-price'>{ARTICLE}</div>".replace("<p>Hm.</p>", "<nav>Hm.</nav>"),
+        f"<body><div class='related-work'>{ARTICLE}</div><div class=footer><p>Word</p></div>",
+        f"<body><main>{ARTICLE}<ul><li><a href=1>Some other page</a><li><a href=2>And one more</a><li><a href=3>Third</a></ul></main>",
+        f"<body><main><div><a href=1>Home</a> <a href=2>News</a> <a href=3>Sports</a></div>{ARTICLE}</main>",
+        f"<body><div class='share-price'>{ARTICLE}</div><div class=comments><p>{LONG}</p></div>",
+    ],
+)
+def test_evidence_against_elements(page):
+    assert htmltext.extract(page) == TEXT
+
+
+def test_lists_with_links_and_text_stay():
+    page = "<body><article><p>Words of the article that go on for a while.</p><ul><li>Some work by many people, <a href=1>link</a>, 2020<li>Another work that people did, <a href=2>link</a>, 2021</ul></article>"
+    assert htmltext.extract(page).endswith("while.\n\nSome work by many people, link, 2020\n\nAnother work that people did, link, 2021")
+
+
+def brute_densities(tree):
+    """Composite text density and sums of children, node by node from the definition."""
+    n = len(tree.parent)
+    inside = lambda i, j: i == j or (j > 0 and inside(i, tree.parent[j]))
+    total = lambda x, i: sum(x[j] for j in range(n) if inside(i, j))
+    body = tree.tag.index("body")
+    share = total(tree.link_chars, body) / total(tree.chars, body)
+    dense = []
+    for i in range(n):
+        c, t, lc, lt = (total(x, i) for x in (tree.chars, tree.tags, tree.link_chars, tree.link_tags))
+        base = np.log(c / max(c - lc, 1) * lc + share * c + np.e) if c else 1
+        dense.append(c / max(t, 1) * max(0, np.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / base) if c else 0.0)
+    return dense, [sum(dense[j] for j in range(1, n) if tree.parent[j] == i) for i in range(n)]
+
+
+def test_region_has_the_largest_density_sum():
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    for _ in range(30):
+        side = "".join(f"<li><a href=x>{words(2)}</a></li>" for _ in range(rng.randint(2, 9)))
+        parts = "".join(f"<p>{words(rng.randint(15, 60))} <a href=y>{words(1)}</a></p>" for _ in range(rng.randint(3, 8)))
+        page = f"<body><div><ul>{side}</ul></div><div><div id=hold>{parts}</div></div><div><p>{words(3)}</p></div>"
+        tree = htmltext.parse(page)
+        _, sums = brute_densities(tree)
+        best = max(range(len(sums)), key=lambda i: (sums[i], -i))
+        assert htmltext.extract(page).count("\n\n") == parts.count("<p>") - 1
+        assert sum(p == best and tree.tag[i] == "p" for i, p in enumerate(tree.parent)) == parts.count("<p>")
+
+
 def test_attributes_are_not_read_inside_quotes():
     page = "<body><article><p>See <a title='the hidden gem' href=x>this</a> and <span title=\"a class=ad b\">that</span>.<div title='a hidden x'>Block</div><div hidden>gone</div><div data-x=1 HIDDEN=''>gone</div></article>"
     assert htmltext.extract(page) == "See this and that.\n\nBlock"
