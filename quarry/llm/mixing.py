@@ -14,8 +14,8 @@ source nearer its target.
 
 u is a hash of the id, the text and a seed, so reruns agree. The factor of
 proportion comes from a source's distinct sizes, the cut from sums per source and
-bin of the rank, so no source is sorted in one task; the cut is found again for
-what lacks behind it until no document fits.
+bin of the rank, so no source is sorted in one task. Behind the cut the documents
+that still fit are looked through in order, ``STRETCH`` of a source at a time.
 
 Defined results:
 - null text: size 0; such rows take no words;
@@ -30,6 +30,9 @@ Defined results:
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +45,8 @@ WEIGHTS = (1, 2, 3)
 CEILING = 3.0
 #: Bins of the rank per source. A bin of a source is the most that one task sorts.
 BINS = 1 << 16
+#: Documents of a source that one task looks through at once, once most of its words are taken.
+STRETCH = 4_096
 #: A table of up to this many sources (about 4 MB) is broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -135,6 +140,16 @@ def _fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked, materialize(lack, "lack")
 
 
+def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of at most STRETCH rows of a source those that are taken in order, others being passed over."""
+    rows = rows.sort_values("n")
+    lack, taken = float(rows["lack"].iat[0]), []
+    for size in rows["size"]:
+        taken.append(size <= lack)
+        lack -= size if taken[-1] else 0
+    return rows.loc[taken, ["sno", "row", "size"]]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, ceiling: float = CEILING, seed: int = 7, bins: int = BINS) -> DataFrame:
     """(id, text_hash, source, size, source_size, target, copies, taken): one row per document."""
     sized = materialize(
@@ -161,21 +176,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = known.withColumn("q", rank).withColumn("bin", bin_of).drop("factor")
     known = materialize(known.drop("draw").withColumn("row", F.monotonically_increasing_id()), "known")
 
-    marked, lack = _fill(known.where("q is not null").withColumn("gap", F.col("rest")))
-    behind, later, lacks = marked, [], lack
+    marked, lacks = _fill(known.where("q is not null").withColumn("gap", F.col("rest")))
+    waiting = marked.where("not fits and size > 0").select("sno", "row", "q", "id", "text_hash", "size")
+    later: list[DataFrame] = []
+    place = F.row_number().over(Window.partitionBy("sno").orderBy("q", "id", "text_hash", "row"))
     while True:
-        behind = behind.where("not fits and size > 0").drop("fits", "gap").join(lack.withColumnRenamed("lack", "gap"), "sno").where("size <= gap")
-        if behind.isEmpty():
+        fitting = waiting.join(lacks, "sno").where("size <= lack")
+        some = fitting.withColumn("n", place).where(F.col("n") <= STRETCH)
+        took = materialize(some.groupBy("sno").applyInPandas(_greedy, "sno long, row long, size long"), "took")
+        if took.isEmpty():  # the first that fits is always taken
             break
-        behind, lack = _fill(behind)
-        later.append(behind.where("fits").select("row"))
-        newer = lack.withColumnRenamed("lack", "newer")
-        lacks = materialize(lacks.join(newer, "sno", "left").select("sno", F.coalesce("newer", "lack").alias("lack")), "lacks")
+        later.append(took.select("row"))
+        words = took.groupBy("sno").agg(F.sum("size").alias("words"))
+        lacks = materialize(lacks.join(words, "sno", "left").select("sno", (F.col("lack") - F.coalesce("words", F.lit(0))).alias("lack")), "lacks")
+        waiting = materialize(fitting.join(took.select("row"), "row", "left_anti").drop("lack"), "waiting")
     if later:
-        also = later[0]
-        for rows in later[1:]:
-            also = also.unionByName(rows)
-        marked = marked.join(also.withColumn("also", F.lit(True)), "row", "left").withColumn("fits", F.col("fits") | F.col("also").isNotNull()).drop("also")
+        also = reduce(DataFrame.unionByName, later).withColumn("also", F.lit(True))
+        marked = marked.join(also, "row", "left").withColumn("fits", F.col("fits") | F.col("also").isNotNull()).drop("also")
 
     # One more document of those left may come nearest to what lacks.
     left = marked.where("not fits").join(lacks, "sno").where("size > 0 and abs(lack - size) < abs(lack)")
