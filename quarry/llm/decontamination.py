@@ -6,13 +6,16 @@ probed by the hash of its next few words against the broadcast set of windows;
 a probe that hits is verified word by word over the whole window. The words
 inside verified windows are hit.
 
-The set is broadcast up to ``broadcast_windows`` windows. A larger one is joined
-by a shuffle on the same hashes, with the same result.
+The set is broadcast up to ``broadcast_bytes`` of its own text. A larger one is
+joined by a shuffle of places alone (id, hash of the text, position, hash of the
+whole window); the places that meet a window go back to the texts by id and are
+verified there, with the same result.
 
 Defined results:
 - null or word-less text: no words, no hits; null benchmark texts have no windows;
 - null id: the row is judged and returned like any other;
 - repeated rows: each is returned, with the same result;
+- very long texts: time in proportion to their words; ties do not arise, since every window that occurs counts;
 - repeated items (same id, or same words under several ids): each item id counts once, null ids not at all;
 - empty tables: no documents give no rows, no benchmark leaves every document clean;
 - other columns are not read by ``judge``; the filters keep them.
@@ -33,7 +36,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
 #: Words hashed for the probe; the rest of a window is compared on a hit.
 PROBE = 4
-BROADCAST_WINDOWS = 500_000
+#: Bytes of windows and their items that are broadcast, with 16 for each word's own bookkeeping.
+BROADCAST_BYTES = 100 << 20
 
 
 def words(text: Column) -> Column:
@@ -49,26 +53,39 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     return grams.groupBy("gram").agg(F.collect_set("item").alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, mark, pos, width, items): every place where a window occurs. pos counts words from 0; mark is the text's hash."""
     windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
-    many = windows.count()
-    probes = sorted(r["k"] for r in windows.select(F.least(F.size("gram"), F.lit(PROBE)).alias("k")).distinct().collect())  # at most PROBE values
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words(F.col(text_col)).alias("w"))  # no filter here: it would split every text twice
+    size = sum((F.octet_length(F.array_join(c, "")) + 16 * F.size(c) for c in ("gram", "items")), F.lit(32))
+    sent = (windows.agg(F.sum(size.cast("long"))).first()[0] or 0) <= broadcast_bytes
+    probed = F.least(F.size("gram"), F.lit(PROBE if sent else window))
+    probes = sorted(r["k"] for r in windows.select(probed.alias("k")).distinct().collect())  # at most ``window`` values
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words(F.col(text_col)).alias("w"))
+    # The outer form, since the planner puts a test of size(w) before the other and so splits every text twice.
+    places = base.select("id", "mark", "w", F.posexplode_outer("w").alias("pos", "first"))
     found = None
     for k in probes or [PROBE]:
-        side = windows.where(F.least(F.size("gram"), F.lit(PROBE)) == k)
+        side = windows.where(probed == k)
         side = side.select("items", "gram", F.size("gram").alias("width"), F.xxhash64(*[F.get("gram", F.lit(j)) for j in range(k)]).alias("probe"))
-        places = base.select("id", "mark", "w", F.posexplode("w").alias("pos", "first"))
         probe = F.xxhash64(F.col("first"), *[F.get("w", F.col("pos") + j) for j in range(1, k)])
-        places = places.select("id", "mark", "w", "pos", probe.alias("probe"))
-        side = F.broadcast(side) if many <= broadcast_windows else side
-        hit = places.join(side, "probe").where(F.slice("w", F.col("pos") + 1, F.col("width")) == F.col("gram"))
-        hit = hit.select("id", "mark", "pos", "width", "items")
+        each = places.select("id", "mark", "w", "pos", probe.alias("probe"))
+        if sent:
+            hit = each.join(F.broadcast(side), "probe").where(F.slice("w", F.col("pos") + 1, F.col("width")) == F.col("gram")).select("id", "mark", "pos", "width", "items")
+        else:
+            hit = _verified(each.where("pos is not null").select("id", "mark", "pos", "probe").join(side, "probe"), base)
         found = hit if found is None else found.unionByName(hit)
     return found
 
 
+def _verified(met: DataFrame, base: DataFrame) -> DataFrame:
+    """Of the places that met a window by its hash, those that hold its words; each text is read once more."""
+    lists = met.groupBy("id", "mark").agg(F.collect_set(F.struct("pos", "width", "gram", "items")).alias("met"))
+    lists = lists.select(F.col("id").alias("met_id"), F.col("mark").alias("met_mark"), "met")
+    joined = base.join(lists, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("mark") == F.col("met_mark")))
+    true = F.filter("met", lambda m: F.slice("w", m["pos"] + 1, m["width"]) == m["gram"])
+    return joined.select("id", "mark", F.explode(true).alias("m")).select("id", "mark", "m.pos", "m.width", "m.items")
+
+
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """(id, mark, n_words, n_hit, n_items, items, contaminated) per row of docs."""
     places = hits(docs, benchmark, id_col, text_col, **kwargs)

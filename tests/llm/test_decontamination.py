@@ -45,12 +45,35 @@ def test_equals_brute_force(spark, docs_of):
     docs, items = data()
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = docs_of([(i, t, "en", "s") for i, t in docs])
-    for limit in (500_000, 0):  # also without the broadcast
-        rows = de.judge(df, bench, broadcast_windows=limit).select("id", "n_words", "n_hit", "items", "contaminated").collect()
+    for limit in (1 << 20, 0):  # also without the broadcast
+        rows = de.judge(df, bench, broadcast_bytes=limit).select("id", "n_words", "n_hit", "items", "contaminated").collect()
         got = sorted((r["id"] is None, r["id"] or 0, r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in rows)
         assert got == sorted((i is None, i or 0, *brute(t, items)) for i, t in docs)
 
 
+def test_shuffle_carries_places_alone(spark, docs_of):
+    """Without the broadcast no exchange before the grouping by text holds the words."""
+    docs, items = data()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = de.hits(docs_of([(i, t, "en", "s") for i, t in docs]), bench, broadcast_bytes=0)._jdf.queryExecution().sparkPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def joins(node):
+        if "SortMergeJoin" in node.nodeName() or "ShuffledHashJoin" in node.nodeName():
+            yield [[c.name() for c in _seq(side.output())] for side in _seq(node.children())]
+        for child in _seq(node.children()):
+            yield from joins(child)
+
+    def _seq(s):
+        return [s.apply(i) for i in range(s.size())]
+
+    sides = [side for join in joins(plan) for side in join if "probe" in side]
+    assert sides and all("w" not in side for side in sides)
+
+
 def test_drop_and_remove(spark, docs_of):
     docs, items = data()
     bench = spark.createDataFrame(items, "item_id long, text string")
