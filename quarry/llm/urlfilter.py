@@ -4,7 +4,9 @@ Listed keys (host and path prefix, with a verdict) are looked up for every URL
 without a join. Level 0 encodes the listed keys; level 1 encodes those keys of
 the corpus's complete key universe that level 0 lets through wrongly; level 2
 those listed keys that level 1 lets through wrongly; and so on until a level
-has no false positives. For every key of that universe the cascade then answers
+has no false positives. A level's bits are set in executors, in chunks of 32 KB
+that reach the driver as bytes. A list that needs more than ``MAX_BITS`` is not
+sent to executors: it is joined by a shuffle instead. For every key of that universe the cascade then answers
 exactly. The universe is every (host suffix, path prefix) of every URL, with
 the prefix lengths that occur in the rules.
 
@@ -12,6 +14,7 @@ Defined results:
 - null url, or one without "://": host and path are empty, no rule fits, the default verdict holds;
 - a path that does not start with the rule's path (an empty one, say) does not fit;
 - of rules that fit, the longest host+path wins, of equal lengths the longer host; a key listed as both allow and block blocks;
+- very long urls: every suffix of the host and prefix of the path that a rule may have is looked up;
 - repeated rows: each is returned; null ids are kept;
 - empty table or no rules: empty result, or the default verdict everywhere;
 - other columns are not read.
@@ -31,8 +34,10 @@ from quarry.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_KEY = 12
-#: A level over this many bits (256 MB) is refused rather than sent to every executor.
+#: Lists whose first level needs more bits than this (256 MB) are joined rather than sent to every executor.
 MAX_BITS = 1 << 31
+#: 64-bit words of a chunk.
+CHUNK = 4096
 
 
 @dataclass
@@ -92,16 +97,21 @@ def url_keys(host: Column, path: Column, lengths: list[int]) -> Column:
 
 def _encode(keys: DataFrame, count: int, bits_per_key: int, depth: int) -> Level:
     room = max(256, 64 * math.ceil(count * bits_per_key / 64))
-    if room > MAX_BITS:
-        raise ValueError(f"{count} keys need {room} bits, more than the {MAX_BITS} that are broadcast")
     hashes = max(1, round(bits_per_key * math.log(2)))
     size, begin = room - depth % 100, depth * hashes
     h1, h2 = key_hashes(F.col("key"))
     spots = keys.select(F.explode(F.array(*[(h1 + h2 * F.lit(i)) % F.lit(size).cast("long") for i in range(begin, begin + hashes)])).alias("at"))
     words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    bits = np.zeros(room // 64, dtype=np.uint64)
-    for word, value in words.collect():  # room / 64 rows at most
-        bits[word] = np.uint64(value & 0xFFFFFFFFFFFFFFFF)
+
+    def chunk(rows: pd.DataFrame) -> pd.DataFrame:  # at most CHUNK rows
+        part = np.zeros(CHUNK, np.int64)
+        part[rows["word"].to_numpy() % CHUNK] = rows["bits"].to_numpy()
+        return pd.DataFrame({"number": [int(rows["word"].iat[0]) // CHUNK], "data": [part.tobytes()]})
+
+    packed = words.groupBy(F.floor(F.col("word") / CHUNK)).applyInPandas(chunk, "number long, data binary")
+    bits = np.zeros(-(-room // 64 // CHUNK) * CHUNK, dtype=np.uint64)
+    for number, data in packed.toLocalIterator():  # at most MAX_BITS in all
+        bits[number * CHUNK : (number + 1) * CHUNK] = np.frombuffer(data, np.uint64)
     return Level(bits, size, hashes, begin)
 
 
@@ -137,7 +147,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, bits_per_key: int = BI
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", bits_per_key: int = BITS_PER_KEY) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", bits_per_key: int = BITS_PER_KEY, max_bits: int = MAX_BITS) -> DataFrame:
     """(id, host, path, rule, verdict) per row. rules has (host, path, verdict); verdict is allow or block."""
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("host"), F.col("path").alias("path"), "verdict").where("host <> '' and path is not null")
     lengths = sorted((r["n"] for r in rules.select(F.char_length("path").alias("n")).distinct().collect()), reverse=True)  # lengths, not rules
@@ -146,7 +156,11 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     longest = lengths[0] if lengths else 0
     heads = split.select("host", F.left("path", F.lit(longest)).alias("path")).distinct()
     universe = materialize(heads.select(F.explode(url_keys(F.col("host"), F.col("path"), lengths)).alias("key")).distinct(), "universe")
-    cascades = [build_cascade(universe, listed.where(F.col("verdict") == v).select("key").distinct(), bits_per_key) for v in ("block", "allow")]
+    sides = [listed.where(F.col("verdict") == v).select("key").distinct() for v in ("block", "allow")]
+    keys = url_keys(F.col("host"), F.col("path"), lengths)
+    if max(side.count() for side in sides) * bits_per_key > max_bits:
+        return _joined(split, keys, listed, default)
+    cascades = [build_cascade(universe, side, bits_per_key) for side in sides]
     sent = pages.sparkSession.sparkContext.broadcast(cascades)
 
     @F.pandas_udf("int")
@@ -164,9 +178,17 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
             out[rows] = 2 * place[hit[at]] + block[hit[at]]
         return pd.Series(out)
 
-    keys = url_keys(F.col("host"), F.col("path"), lengths)
     hashed = split.withColumn("keys", keys)
     found = hashed.withColumn("at", first(F.transform("keys", lambda k: key_hashes(k)[0]), F.transform("keys", lambda k: key_hashes(k)[1])))
     rule = F.when(F.col("at") >= 0, F.get("keys", F.shiftright("at", 1)))
     verdict = F.when(F.col("at") < 0, F.lit(default)).when(F.col("at") % 2 == 1, F.lit("block")).otherwise(F.lit("allow"))
     return found.select("id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+
+
+def _joined(split: DataFrame, keys: Column, listed: DataFrame, default: str) -> DataFrame:
+    """judge for lists too large to send: the keys of each distinct host and path head are joined with the list."""
+    heads = split.select("host", "path").distinct().select("host", "path", F.posexplode(keys).alias("at", "key"))
+    verdicts = listed.groupBy("key").agg(F.max("verdict").alias("verdict"))  # block over allow
+    best = heads.join(verdicts, "key").groupBy("host", "path").agg(F.min_by(F.struct("key", "verdict"), "at").alias("best"))
+    found = split.join(best, ["host", "path"], "left")
+    return found.select("id", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
