@@ -7,8 +7,8 @@ on the input.
 1. Fingerprints. Each window has a minimizer: the smallest hash of the 8-word
    grams inside it. Equal windows have equal minimizers at equal places, so only
    documents that share a minimizer can share a window. Neighbouring windows with
-   one minimizer form a run; the run's hash covers all its words.
-2. Whole runs. A run whose hash occurs in a document with a smaller id goes as a
+   one minimizer form a run; a digest (BLAKE2b, 128 bits) names all its words.
+2. Whole runs. A run whose words occur in a document with a smaller id goes as a
    whole. Copies of any number meet in an aggregation and need nothing more.
 3. Automata. Where a minimizer has several different runs, the first document of
    each run is a reference. The references of a minimizer form a shard; a suffix
@@ -16,8 +16,12 @@ on the input.
    against the automaton of the smaller ids for its matching statistics. Maximal
    spans of at least ``window`` words go. Shards of over ``shard_runs`` runs are
    split, and a document is streamed against each part; a minimizer with more
-   than ``most_shards`` parts has its windows compared by hash, which is exact
-   too and splits without limit.
+   than ``most_shards`` parts has its windows compared by digest, which splits
+   without limit.
+
+The hash of the grams only proposes: two grams that collide bring windows
+together, and equal windows always meet. Equality is decided by the words (in the
+automata) or by a cryptographic digest of them, for which no collision is known.
 
 Automata of the whole corpus, broadcast to every task, would need memory for
 every word and time for documents times shards; here a shard meets only the
@@ -27,6 +31,7 @@ broadcast form for a bounded outside reference.
 Defined results:
 - null text: no words; fewer words than a window: nothing goes;
 - null id: nothing goes, and the row is nobody's reference;
+- very long texts: read whole, a batch of about ``BATCH_BYTES`` or one text at a time; ties: the leftmost minimizer;
 - repeated rows: equal ids are one document, which is never its own reference;
 - empty table: empty result;
 - other columns are not read.
@@ -151,7 +156,8 @@ class _Hashes:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.stop = np.cumsum(sizes + 1) - 1
         self.start = self.stop - sizes
-        data = np.frombuffer(b" ".join(words), np.uint8)
+        self.text = b" ".join(words)
+        data = np.frombuffer(self.text, np.uint8)
         power, self.inverse = _power(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
@@ -161,6 +167,12 @@ class _Hashes:
         a = self.start[first]
         return _mix((self.sums[self.stop[last]] - self.sums[a]) * self.inverse[a])
 
+    def digest(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """(n, 2) longs: the digest of the words first..last (inclusive), joined by spaces."""
+        text, of = self.text, hashlib.blake2b
+        found = b"".join([of(text[a:b], digest_size=16).digest() for a, b in zip(self.start[first].tolist(), self.stop[last].tolist())])
+        return np.frombuffer(found, np.int64).reshape(-1, 2)
+
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x)
@@ -172,33 +184,43 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
+def _lowest(grams: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of every ``width`` neighbouring hashes, of equal ones the leftmost, whatever stands around them."""
+    out = np.empty(len(grams) - width + 1, np.int64)
+    bits = np.uint64(20)
+    step = (1 << 20) - width
+    for at in range(0, len(out), step):
+        part = grams[at : at + step + width - 1]
+        ranked = (part >> bits << bits) | np.arange(len(part), dtype=np.uint64)
+        out[at : at + step] = at + (_sliding_min(ranked, width) & np.uint64((1 << 20) - 1)).astype(np.int64)
+    return out
+
+
 def runs_of(docs: list[list[bytes]], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(document number, first word, windows, minimizer, run hash) of every run of docs."""
+    """(document number, first word, windows, minimizer, the two halves of the run's digest) of every run of docs."""
     counts = np.array([len(d) for d in docs], np.int64)
     total = int(counts.sum())
     none = np.zeros(0, np.int64)
     if total < window:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     h = _Hashes(docs)
     doc = np.repeat(np.arange(len(docs)), counts)
     base = np.cumsum(counts) - counts
     at = np.arange(total - gram + 1)
     grams = h.of(at, at + gram - 1)
-    bits = np.uint64(max(20, int(total).bit_length()))
-    ranked = (grams >> bits << bits) | at.astype(np.uint64)  # ties: the leftmost
-    low = (_sliding_min(ranked, window - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low = _lowest(grams, window - gram + 1)
     begin = np.flatnonzero(doc[: total - window + 1] == doc[window - 1 :])  # windows inside one document
     if not len(begin):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     low = low[begin]
     fresh = np.ones(len(begin), bool)
     fresh[1:] = (low[1:] != low[:-1]) | (begin[1:] != begin[:-1] + 1)
     head = np.flatnonzero(fresh)
     many = np.diff(np.append(head, len(begin)))
     first = begin[head]
-    whole = h.of(first, first + many - 1 + window - 1)
+    whole = h.digest(first, first + many - 1 + window - 1)
     number = doc[first]
-    return number, first - base[number], many, grams[low[head]].view(np.int64), whole.view(np.int64)
+    return number, first - base[number], many, grams[low[head]].view(np.int64), whole[:, 0], whole[:, 1]
 
 
 def _batched(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[list[bytes]]]]:
@@ -223,11 +245,11 @@ def _runs(rows: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             ids, marks = batch.column("id").to_numpy(zero_copy_only=False), batch.column("mark").to_numpy(zero_copy_only=False)
             for rows, docs in _batched(batch):
-                number, first, many, low, whole = runs_of(docs, window, gram)
+                number, first, many, low, whole, more = runs_of(docs, window, gram)
                 of = np.array(rows, np.int64)[number]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(marks[of]), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(low), pa.array(whole)], names=["id", "mark", "first", "many", "low", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of]), pa.array(marks[of]), pa.array(first.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(low), pa.array(whole), pa.array(more)], names=["id", "mark", "first", "many", "low", "whole", "more"])
 
-    return rows.where("id is not null").select("id", "mark", "text").mapInArrow(run, "id long, mark long, first int, many int, low long, whole long")
+    return rows.where("id is not null").select("id", "mark", "text").mapInArrow(run, "id long, mark long, first int, many int, low long, whole long, more long")
 
 
 def _with_lists(rows: DataFrame, lists: DataFrame, how: str, count: int, limit: int) -> DataFrame:
@@ -239,10 +261,10 @@ def _with_lists(rows: DataFrame, lists: DataFrame, how: str, count: int, limit:
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_runs: int = SHARD_RUNS, most_shards: int = MOST_SHARDS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """(id, mark, start, stop): spans of words to remove, from rows (id, mark, text)."""
     runs = materialize(_runs(rows, window, gram), "runs")
-    kinds = runs.groupBy("low", "whole").agg(F.min("id").alias("owner"), F.max("id").alias("latest"))  # copies meet here
+    kinds = runs.groupBy("low", "whole", "more").agg(F.min("id").alias("owner"), F.max("id").alias("latest"))  # copies meet here
     shared = kinds.groupBy("low").agg(F.count("*").alias("kinds"), F.min("owner").alias("a"), F.max("latest").alias("b")).where("a < b").select("low", "kinds")
-    known = materialize(kinds.join(shared, "low").where("kinds > 1 or owner < latest").select("low", "whole", "owner", "kinds"), "kinds")
-    met = runs.join(known, ["low", "whole"]).where("owner < id or kinds > 1")
+    known = materialize(kinds.join(shared, "low").where("kinds > 1 or owner < latest").select("low", "whole", "more", "owner", "kinds"), "kinds")
+    met = runs.join(known, ["low", "whole", "more"]).where("owner < id or kinds > 1")
     met = materialize(met.select("id", "mark", "first", "many", "low", (F.col("owner") < F.col("id")).alias("copy")), "met")
     stop = F.col("first") + F.col("many") + F.lit(window - 1)
     spans = met.where("copy").select("id", "mark", F.col("first").alias("start"), stop.alias("stop"))
@@ -310,15 +332,15 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
                 words = batch.column("words")[i].as_py().split()
                 at = np.arange(len(words) - window + 1)
                 n = len(at)
-                hashed = _Hashes([words]).of(at, at + window - 1).view(np.int64)
+                hashed = _Hashes([words]).digest(at, at + window - 1)
                 same = [pa.array([batch.column(c)[i].as_py()] * n, pa.int64()) for c in ("id", "mark", "low")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array((at + batch.column("first")[i].as_py()).astype(np.int32)), pa.array(hashed)], names=["id", "mark", "low", "start", "hash"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array((at + batch.column("first")[i].as_py()).astype(np.int32)), pa.array(hashed[:, 0]), pa.array(hashed[:, 1])], names=["id", "mark", "low", "start", "hash", "more"])
 
     many = cut.where(F.col("parts") > most_shards)
     if not many.isEmpty():
-        each = materialize(many.mapInArrow(windows, "id long, mark long, low long, start int, hash long"), "windows")
-        first = each.groupBy("low", "hash").agg(F.min("id").alias("owner"), F.max("id").alias("latest")).where("owner < latest").select("low", "hash", "owner")
-        again = each.join(first, ["low", "hash"]).where("owner < id")
+        each = materialize(many.mapInArrow(windows, "id long, mark long, low long, start int, hash long, more long"), "windows")
+        first = each.groupBy("low", "hash", "more").agg(F.min("id").alias("owner"), F.max("id").alias("latest")).where("owner < latest").select("low", "hash", "more", "owner")
+        again = each.join(first, ["low", "hash", "more"]).where("owner < id")
         spans = spans.unionByName(again.select("id", "mark", "start", (F.col("start") + window).alias("stop")))
     return spans
 

@@ -365,6 +365,29 @@ def test_repeated_passages(spark, docs_of, kw):
     assert got == brute_removed(rows, 50)
 
 
+def test_colliding_hashes_do_not_remove(spark, docs_of):
+    """Two sequences whose polynomial hashes modulo 2^64 agree (Thue-Morse words) are not taken for equal."""
+    bit = lambda i: i.bit_count() & 1
+    one = ["ab"[bit(i)] for i in range(4096)]
+    two = ["ba"[bit(i)] for i in range(4096)]
+    join = lambda w: " ".join(w)
+    h = substrings._Hashes([[w.encode() for w in one], [w.encode() for w in two]])
+    whole = h.of(np.array([0, 4096]), np.array([4095, 8191]))
+    assert whole[0] == whole[1]
+    found = substrings.deduplicate(docs_of([(1, join(one), "en", "s"), (2, join(two), "en", "s")])).collect()
+    got = sorted((r["id"] is None, r["id"] or 0, r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found)
+    assert got == brute_removed([(1, join(one)), (2, join(two))], 50)
+
+
+def test_minimizers_do_not_depend_on_the_surroundings():
+    rng = np.random.default_rng(3)
+    grams = rng.integers(0, 1 << 63, 2_300_000).astype(np.uint64)
+    grams[5:900] = 7
+    whole = substrings._lowest(grams, 43)
+    for at in (0, 3, 400, (1 << 20) - 50, 2_200_000):
+        assert whole[at : at + 20].tolist() == (at + substrings._lowest(grams[at : at + 20 + 42], 43)).tolist()
+
+
 def test_automaton_spans():
     rng = random.Random(4)
     for _ in range(60):
@@ -409,8 +432,9 @@ def test_urls(spark):
     rows = [(i, u) for i, u in enumerate(URLS)] + [(None, "http://x.net/fr/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("key", F.lit("clash")).withColumn("host", F.lit("clash"))
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, rules, bits_per_key=2).collect()}
-    assert got == {i: brute_rule(u) for i, u in rows}
+    for bits in (urlfilter.MAX_BITS, 0):  # also joined
+        got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, rules, bits_per_key=2, max_bits=bits).collect()}
+        assert got == {i: brute_rule(u) for i, u in rows}
     none = urlfilter.judge(pages, rules.limit(0)).collect()
     assert {r["verdict"] for r in none} == {"allow"} and urlfilter.judge(pages.limit(0), rules).count() == 0
 
