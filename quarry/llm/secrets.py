@@ -7,12 +7,12 @@ many paths or versions share the text, appends them to the ledger and joins the
 findings back to all paths. A rule that gets a new version is scanned anew.
 
 Matches are leftmost and do not overlap within a rule. Offsets are code points,
-end exclusive. They come from the lengths of the matches and of the pieces
+end exclusive; ties at one start are listed in the order of the rules. They come from the lengths of the matches and of the pieces
 between them, summed in order, so a text with very many matches costs no more
 than its length.
 
 Defined results:
-- null text: the empty text, which has no findings;
+- null text: the empty text, which has no findings; very long texts: as above, and ``redact`` cuts them block by block;
 - null path: allowed, such rows come back with a null path;
 - repeated rows: each is returned, with the same findings; copies of a text are scanned once;
 - empty table: empty result, the ledger stays as it was;
@@ -48,6 +48,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]{16,}", 0, 16),
 )
 MARK = "[SECRET]"
+#: Characters of a block of text when it is cut.
+BLOCK = 4096
 
 
 def blob_id(text: Column) -> Column:
@@ -140,18 +142,30 @@ def redact(docs: DataFrame, ledger: str | None = None, path_col: str = "doc_id",
     ledger = ledger or fresh_path(docs.sparkSession, "ledger")
     found = scan(docs, ledger, path_col, text_col, rules).where("found is not null").select(F.col("mark").alias("blob"), "found").dropDuplicates(["blob"])
     rows = carried(docs, blob=blob_id(F.col(text_col)), text=F.coalesce(F.col(text_col), F.lit("")))
-    joined = rows.join(found, "blob", "left")
-    text = F.col("text")
-    first = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast("array<string>").alias("kept"))
-    # Pieces before, between and after the findings; a finding inside an earlier one adds nothing.
-    pieces = F.aggregate(
-        F.coalesce("found", F.array().cast(FOUND)),
-        first,
-        lambda acc, s: F.when(
-            s["start"] >= acc["upto"],
-            F.struct(s["stop"].alias("upto"), F.concat(acc["kept"], F.array(F.substring(text, (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")))).alias("kept")),
-        ).otherwise(F.struct(F.greatest(acc["upto"], s["stop"]).alias("upto"), acc["kept"].alias("kept"))),
-        lambda acc: F.array_join(F.concat(acc["kept"], F.array(F.substring(text, (acc["upto"] + 1).cast("int"), F.lit(2**31 - 1)))), mark),
+    joined = rows.join(_gaps(found), "blob", "left")
+    blocks = F.regexp_extract_all("text", F.lit(r"(?s).{1,%d}" % BLOCK), F.lit(0))
+    pieces = F.array_join(F.transform("gaps", lambda g: _piece(F.col("blocks"), g["start"], g["stop"])), mark)
+    cut = joined.withColumn("blocks", F.when(F.col("gaps").isNotNull(), blocks))
+    changed = F.when(F.col("gaps").isNotNull(), pieces).otherwise(F.col("row").getField(text_col))
+    return cut.select(F.col("row").withField(text_col, changed).alias("row")).select("row.*")
+
+
+def _gaps(found: DataFrame) -> DataFrame:
+    """(blob, gaps): what lies before, between and after the findings of each text, overlapping ones taken together."""
+    spans = found.select("blob", F.explode("found").alias("s")).select("blob", "s.start", "s.stop")
+    before = Window.partitionBy("blob").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    ends = spans.withColumn("upto", F.coalesce(F.max("stop").over(before), F.lit(0).cast("long")))
+    last = spans.groupBy("blob").agg(F.max("stop").alias("start")).select("blob", "start", F.lit(None).cast("long").alias("stop"))
+    gaps = ends.where("start >= upto").select("blob", F.col("upto").alias("start"), F.col("start").alias("stop")).unionByName(last)
+    return gaps.groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("gaps"))
+
+
+def _piece(blocks: Column, start: Column, stop: Column) -> Column:
+    """The text from start to stop (null: its end). Only the blocks it touches are read, so many findings cost no more than the text."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.coalesce(F.floor((stop - 1) / BLOCK).cast("int"), F.size(blocks) - 1)
+    cut = F.transform(
+        F.slice(blocks, first + 1, F.greatest(F.lit(0), last - first + 1)),
+        lambda x, i: F.substring(x, F.when(i == 0, start % BLOCK).otherwise(0).cast("int") + 1, F.when(stop.isNotNull() & (i == last - first), stop - last.cast("long") * BLOCK).otherwise(BLOCK).cast("int") - F.when(i == 0, start % BLOCK).otherwise(0).cast("int")),
     )
-    changed = F.when(F.col("found").isNotNull(), pieces).otherwise(F.col("row").getField(text_col))
-    return joined.select(F.col("row").withField(text_col, changed).alias("row")).select("row.*")
+    return F.when(F.coalesce(stop > start, F.lit(True)), F.array_join(cut, "")).otherwise("")
