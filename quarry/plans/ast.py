@@ -89,3 +89,9 @@ def walk(n: Node):
         yield from walk(n.right)
     elif isinstance(n, Phrase):
         yield from n.items
+
+
+def fold(n: Node, step):
+    """step(node, results of its clauses), from the leaves up. A phrase or a proximity is a leaf."""
+    clauses = n.children if isinstance(n, (And, Or)) else (n.child,) if isinstance(n, Not) else ()
+    return step(n, [fold(c, step) for c in clauses])
