@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.tokens import padded, quick_tokens, tokens
+from quarry.functions.tokens import with_tokens
+from quarry.functions.vocab import TEXT_FIELDS
 
 COMBO = ("venue", "year", "track", "status", "abstract_kind")
 
@@ -34,15 +35,9 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tokenised(records: DataFrame, latin_only: bool = False) -> DataFrame:
+def tokenised(records: DataFrame) -> DataFrame:
     """records with tok_title, tok_abstract and the padded T_title, T_abstract. A missing abstract is the empty token list."""
-    make = quick_tokens if latin_only else tokens
-    out = records
-    for f in ("title", "abstract"):
-        out = out.withColumn(f"tok_{f}", make(F.col(f)))
-    for f in ("title", "abstract"):
-        out = out.withColumn(f"T_{f}", padded(F.col(f"tok_{f}")))
-    return out
+    return with_tokens(records, TEXT_FIELDS)
 
 
 def vocabulary(corpus: DataFrame) -> DataFrame:
