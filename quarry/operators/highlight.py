@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,9 +27,16 @@ def occurrences(tokens: list[str], n: Term | Wildcard | Phrase) -> list[tuple[in
 
 
 def near_pairs(tokens: list[str], n: Near) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Pairs of occurrences that do not overlap and have at most ``distance`` tokens between."""
+    """Pairs of occurrences that do not overlap and have at most ``distance`` tokens between; only those in reach are looked at."""
     left, right = occurrences(tokens, n.left), occurrences(tokens, n.right)
-    return [(a, b) for a in left for b in right if (b[0] >= a[1] and b[0] - a[1] <= n.distance) or (a[0] >= b[1] and a[0] - b[1] <= n.distance)]
+    starts = {id(x): [r[0] for r in x] for x in (left, right)}  # ascending, and so are the ends
+
+    def behind(one: tuple[int, int], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        at = starts[id(others)]
+        return others[bisect_left(at, one[1]) : bisect_right(at, one[1] + n.distance)]
+
+    found = [(a, b) for a in left for b in behind(a, right)]
+    return found + [(a, b) for b in right for a in behind(b, left)]
 
 
 def matches(record: dict, tokens: dict[str, list[str]], n: Node) -> bool:
