@@ -66,88 +66,165 @@ def resolve(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _clusters(records: DataFrame, member: DataFrame) -> DataFrame:
-    """One row per cluster with the sets that merging must respect. member: (id, cluster)."""
+    """One row per cluster with what merging must respect. member: (id, cluster)."""
     joined = records.join(member, "id")
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    return joined.groupBy("cluster", "venue", "year").agg(
+    found = joined.groupBy("cluster", "venue", "year").agg(
         flat("sources").alias("sources"),
         flat("forum_ids").alias("forum_ids"),
         flat("proceedings_ids").alias("proceedings_ids"),
+        F.bool_or("crawled").alias("crawled"),
         F.collect_set("title_key").alias("titles"),
         F.collect_set("abstract_key").alias("abstracts"),
         F.min_by("status", "id").alias("status"),
         F.min_by("track", "id").alias("track"),
+        F.bool_or("creative").alias("creative"),
+    )
+    own = F.filter("sources", lambda s: ~s.isin(list(IMPORTS)))
+    listed = F.size("proceedings_ids") > 0
+    waits = listed & (F.col("track") == "unknown") & ~F.exists("sources", lambda s: s.startswith("openreview"))
+    family = F.when(F.col("creative"), "creative").when(F.col("track").isin(list(PROCEEDINGS_TRACKS)) | waits, "proceedings")
+    return found.select(
+        "cluster", "venue", "year", "titles", "abstracts", "forum_ids", "track", "status", "crawled",
+        own.alias("own"), listed.alias("listed"), family.alias("family"),
+        F.array_min("forum_ids").alias("forum_low"), F.array_max("forum_ids").alias("forum_high"),
+        F.array_min("proceedings_ids").alias("listed_low"), F.array_max("proceedings_ids").alias("listed_high"),
+    )
+
+
+def _facts(parts: DataFrame, *by: str) -> DataFrame:
+    """Per group, counts and extremes of its clusters: all that the rules ask, without gathering the clusters."""
+    imported, bad = F.size("own") == 0, ~F.col("crawled") & F.col("status").isin(list(REJECTED_LIKE))
+    return parts.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.min("cluster").alias("first"),
+        F.sum(F.size("own")).alias("own_all"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("own")))).alias("own_distinct"),  # sources: a closed list
+        F.min("forum_low").alias("forum_low"),
+        F.max("forum_high").alias("forum_high"),
+        F.min("listed_low").alias("listed_low"),
+        F.max("listed_high").alias("listed_high"),
+        F.count_if(imported).alias("imports"),
+        F.count_if(imported & bad).alias("bad_imports"),
+        F.count_if(~imported & bad).alias("bad_others"),
+        F.bool_or("listed").alias("any_listed"),
+        F.collect_set("family").alias("families"),
+        F.collect_set(F.when(F.col("listed"), F.col("family"))).alias("listed_families"),
+        F.count_if(F.col("family").isNull()).alias("no_family"),
+        F.min(F.when(F.size("forum_ids") > 0, F.col("cluster"))).alias("with_forum"),
     )
 
 
-def _refusal(grouped: DataFrame, linked: bool) -> Column:
-    """Why the clusters of a group may not merge, or null."""
-    own = F.flatten(F.transform("parts", lambda p: F.filter(p["sources"], lambda s: ~s.isin(list(IMPORTS)))))
-    forums = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["forum_ids"])))
-    listed = F.array_distinct(F.flatten(F.transform("parts", lambda p: p["proceedings_ids"])))
-    imported = F.exists("parts", lambda p: F.forall(p["sources"], lambda s: s.isin(list(IMPORTS))))
-    bad = F.exists("parts", lambda p: p["status"].isin(list(REJECTED_LIKE)))
-    family = F.transform("parts", lambda p: F.when(p["track"].isin(list(PROCEEDINGS_TRACKS)), F.lit("proceedings")).otherwise(F.lit("none")))
-    families = (F.size(listed) > 0) & ((F.size(F.array_distinct(family)) > 1) | F.array_contains(family, "none"))
-    shared = F.lit(False) if linked else F.size(own) > F.size(F.array_distinct(own))
+def _refusal(linked: bool) -> Column:
+    """Why the clusters of a group with these facts may not merge, or null. Linked groups share a forum id, which says which paper each is."""
+    others = F.col("n") - F.col("imports")
+    alone = (F.col("bad_others") > 0) & (others == 1) | (F.col("bad_imports") > 0) & (others == 0)  # all others are imports
+    families = F.col("any_listed") & ((F.size("families") > 1) | (F.col("no_family") > 0))
     return (
-        F.when(shared, "shared_source")
-        .when(F.size(forums) > 1, "two_forum_ids")
-        .when(F.size(listed) > 1, "two_proceedings_ids")
-        .when(imported & bad, "import_status")
+        F.when(F.lit(not linked) & (F.col("own_all") > F.col("own_distinct")), "shared_source")
+        .when(F.col("forum_low") < F.col("forum_high"), "two_forum_ids")
+        .when(F.col("listed_low") < F.col("listed_high"), "two_proceedings_ids")
+        .when(F.lit(not linked) & alone, "import_status")
         .when(families, "track_not_merged")
     )
 
 
-def _groups(clusters: DataFrame, rule: str) -> DataFrame:
-    keys = {"forum_link": "forum_ids", "title_venue_year": "titles", "abstract_venue_year": "abstracts"}[rule]
-    part = F.struct("cluster", "sources", "forum_ids", "proceedings_ids", "status", "track")
-    each = clusters.select("venue", "year", F.explode(F.array_distinct(F.col(keys))).alias("key"), part.alias("part")).where("key <> ''")
-    grouped = each.groupBy("venue", "year", "key").agg(F.sort_array(F.collect_list("part")).alias("parts")).where("size(parts) > 1")
-    if rule == "abstract_venue_year":  # only where an import takes part
-        grouped = grouped.where(F.exists("parts", lambda p: F.forall(p["sources"], lambda s: s.isin(list(IMPORTS)))))
-    return grouped.withColumn("refusal", _refusal(grouped, rule == "forum_link"))
+RULES = {"forum_link": "forum_ids", "title_venue_year": "titles", "abstract_venue_year": "abstracts"}
+_KEY = ("venue", "year", "key")
+
+
+def _keyed(clusters: DataFrame, rule: str) -> DataFrame:
+    """A row for each cluster and each key by which it may merge."""
+    return clusters.withColumn("key", F.explode(F.array_distinct(F.col(RULES[rule])))).where("key <> ''")
+
+
+def _judged(parts: DataFrame, rule: str) -> DataFrame:
+    """The facts of each group of two or more clusters, with the refusal. Abstracts count only where an import takes part."""
+    facts = _facts(parts, *_KEY).where("n > 1")
+    return (facts.where("imports > 0") if rule == "abstract_venue_year" else facts).withColumn("refusal", _refusal(rule == "forum_link"))
+
 
+def _aside(part_track: Column, part_status: Column) -> Column:
+    """Whether a cluster can never be the paper that its group's listing names: its track keeps it from every listing there, or it was not accepted."""
+    stranger = F.col("family").isNull() | (F.size("listed_families") > 0) & ~F.array_contains("listed_families", F.col("family"))
+    return ~F.col("listed") & ((part_track != "unknown") & stranger | part_status.isin(list(REJECTED_LIKE)))
 
-def merge(records: DataFrame, max_rounds: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """((id, cluster); merges (survivor_id, merged_id, rule); conflicts (key, ids, resolution)).
 
-    records: id, venue, year, title, abstract, track, status, sources, forum_ids,
-    proceedings_ids. Steps repeat until nothing merges; a group that is refused
-    stays apart and is reported. The cluster is the smallest id.
+def _edges(clusters: DataFrame, rule: str) -> DataFrame:
+    """(src, dst) between clusters that merge by a rule: whole groups, or, by title, those left when rivals of a listing are set aside."""
+    parts = materialize(_keyed(clusters, rule), "parts")
+    judged = materialize(_judged(parts, rule), "judged")
+    fine = parts.join(judged.where("refusal is null").select(*_KEY, "first"), list(_KEY))
+    edges = fine.select(F.col("first").alias("src"), F.col("cluster").alias("dst"))
+    if rule == "title_venue_year":
+        held = parts.join(judged.where("refusal is not null and any_listed").select(*_KEY, "listed_families"), list(_KEY))
+        rest = materialize(held.where(~_aside(F.col("track"), F.col("status"))).drop("listed_families"), "rest")
+        left = _judged(rest, rule).where("refusal is null").select(*_KEY, "first")
+        edges = edges.unionByName(rest.join(left, list(_KEY)).select(F.col("first").alias("src"), F.col("cluster").alias("dst")))
+    return materialize(edges.where("src <> dst").distinct(), "eredges")
+
+
+def merge(records: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((id, cluster); merges (survivor_id, merged_id, rule); refused (rule, venue, year, key, id_a, id_b, resolution, refusal)).
+
+    records: id, venue, year, title, abstract, track, status, sources, forum_ids, proceedings_ids; optional: crawled
+    (a listing by evidence of its own; else: it has a proceedings id and a source that is no import), creative.
+    Steps repeat until nothing merges. The cluster is the smallest id with a forum id, else the smallest. A group that
+    is refused stays apart and is reported, each other cluster against the first.
     """
-    keyed = materialize(records.withColumn("title_key", title_key(F.col("title"))).withColumn("abstract_key", abstract_key(F.col("abstract"))), "er")
+    own = F.exists("sources", lambda s: ~s.isin(list(IMPORTS)))
+    crawled = F.col("crawled") if "crawled" in records.columns else (F.size("proceedings_ids") > 0) & own
+    creative = F.col("creative") if "creative" in records.columns else F.lit(False)
+    keyed = records.withColumn("title_key", title_key(F.col("title"))).withColumn("abstract_key", abstract_key(F.col("abstract")))
+    keyed = materialize(keyed.withColumn("crawled", F.coalesce(crawled, F.lit(False))).withColumn("creative", F.coalesce(creative, F.lit(False))), "er")
     member = keyed.select("id", F.col("id").alias("cluster")).distinct()
     merges = None
     for _ in range(max_rounds):
         moved = False
-        for rule in ("forum_link", "title_venue_year", "abstract_venue_year"):
-            groups = _groups(_clusters(keyed, member), rule)
-            edges = groups.where("refusal is null").select(F.explode(F.expr("slice(parts, 2, size(parts) - 1)")).alias("p"), F.element_at("parts", 1)["cluster"].alias("src")).select("src", F.col("p.cluster").alias("dst"))
-            edges = materialize(edges, "eredges")
+        for rule in RULES:
+            clusters = materialize(_clusters(keyed, member), "clusters")
+            edges = _edges(clusters, rule)
             if edges.isEmpty():
                 continue
-            found = connected_components(edges)
+            found = materialize(connected_components(edges), "found")
             # A chain of allowed groups may still join what must stay apart: the whole component is judged again.
-            whole = member.join(found, F.col("cluster") == F.col("node")).select("id", F.col("component").alias("cluster"))
-            parts = _clusters(keyed, member).join(found, F.col("cluster") == F.col("node"))
-            judged = parts.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("cluster", "sources", "forum_ids", "proceedings_ids", "status", "track"))).alias("parts"))
-            fine = materialize(judged.withColumn("refusal", _refusal(judged, rule == "forum_link")).where("refusal is null").select("component"), "fine")
-            if fine.isEmpty():
+            parts = clusters.join(found, F.col("cluster") == F.col("node"))
+            judged = _facts(parts, "component").where(_refusal(rule == "forum_link").isNull())
+            names = judged.select("component", F.coalesce("with_forum", "first").alias("survivor"))
+            moving = materialize(found.join(names, "component").where("node <> survivor").select("node", "survivor"), "moving")
+            if moving.isEmpty():
                 continue
-            moving = materialize(found.join(fine, "component").where("node <> component"), "moving")
-            rows = moving.select(F.col("component").alias("survivor_id"), F.col("node").alias("merged_id"), F.lit(rule).alias("rule"))
+            rows = moving.select(F.col("survivor").alias("survivor_id"), F.col("node").alias("merged_id"), F.lit(rule).alias("rule"))
             merges = rows if merges is None else merges.unionByName(rows)
-            named = moving.select(F.col("node").alias("cluster"), "component")
-            member = materialize(member.join(named, "cluster", "left").select("id", F.coalesce("component", "cluster").alias("cluster")), "member")
+            member = member.join(moving.withColumnRenamed("node", "cluster"), "cluster", "left")
+            member = materialize(member.select("id", F.coalesce("survivor", "cluster").alias("cluster")), "member")
             moved = True
         if not moved:
             break
-    final = _clusters(keyed, member)
-    refused = [_groups(final, r).where("refusal is not null").select(F.lit(r).alias("rule"), "venue", "year", "key", F.transform("parts", lambda p: p["cluster"]).alias("ids"), F.when(F.col("refusal") == "track_not_merged", "track_not_merged").otherwise("ambiguous_not_merged").alias("resolution"), "refusal") for r in ("forum_link", "title_venue_year", "abstract_venue_year")]
+    else:
+        raise RuntimeError("merging did not settle")
+    final = materialize(_clusters(keyed, member), "clusters")
+    refused = None
+    for rule in RULES:
+        parts = _keyed(final, rule)
+        judged = _judged(parts, rule).where("refusal is not null").select(*_KEY, "first", "refusal")
+        resolution = F.when(F.col("refusal") == "track_not_merged", "track_not_merged").otherwise("ambiguous_not_merged")
+        rows = parts.select(*_KEY, "cluster").join(judged, list(_KEY)).where("cluster <> first")
+        rows = rows.select(F.lit(rule).alias("rule"), *_KEY, F.col("first").alias("id_a"), F.col("cluster").alias("id_b"), resolution.alias("resolution"), "refusal")
+        refused = rows if refused is None else refused.unionByName(rows)
     spark = records.sparkSession
     merges = merges if merges is not None else spark.createDataFrame([], "survivor_id string, merged_id string, rule string")
-    return member, merges, refused[0].unionByName(refused[1]).unionByName(refused[2])
+    return member, merges, refused
+
+
+def follow_merges(ids: DataFrame, merges: DataFrame) -> DataFrame:
+    """(id, survivor_id): the record that each id ended in, over merges of merges; its own where none took it."""
+    if merges.isEmpty():
+        return ids.select("id", F.col("id").alias("survivor_id")).distinct()
+    groups = connected_components(merges.select(F.col("survivor_id").alias("src"), F.col("merged_id").alias("dst")))
+    ended = groups.join(merges.select(F.col("merged_id").alias("node")).distinct(), "node", "left_anti").select("component", F.col("node").alias("survivor_id"))
+    named = groups.join(ended, "component").select(F.col("node").alias("id"), "survivor_id")
+    return ids.select("id").distinct().join(named, "id", "left").select("id", F.coalesce("survivor_id", "id").alias("survivor_id"))
 
 
 def survivor(group: DataFrame, by: str) -> DataFrame:

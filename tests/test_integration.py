@@ -63,6 +63,49 @@ def test_merging(spark):
     assert {(r["key"], r["resolution"]) for r in refused.collect()} == {("twice", "ambiguous_not_merged"), ("track", "track_not_merged")}
 
 
+def merged(spark, rows):
+    member, merges, refused = resolve.merge(records(spark, rows))
+    groups = {}
+    for r in member.collect():
+        groups.setdefault(r["cluster"], set()).add(r["id"])
+    return {k: "".join(sorted(v)) for k, v in groups.items() if len(v) > 1}, {(r["id_a"], r["id_b"], r["refusal"]) for r in refused.collect()}, merges
+
+
+def test_rivals_of_a_listing_are_set_aside(spark):
+    paper = lambda i, track, status, source, forum=(), listed=(): (i, "ICLR", 2020, "Same title", None, track, status, [source], list(forum), list(listed))
+    groups, refused, _ = merged(spark, [paper("a", "workshop", "accepted", "openreview_v1", ["F1"]), paper("b", "main", "accepted", "openreview_v2", ["F2"]), paper("c", "main", "accepted", "pmlr", (), ["P1"])])
+    assert groups == {"b": "bc"} and {x[2] for x in refused} == {"two_forum_ids"}
+    groups, _, _ = merged(spark, [paper("a", "main", "rejected", "openreview_v1", ["F1"]), paper("b", "main", "accepted", "dblp"), paper("c", "main", "accepted", "pmlr", (), ["P1"]), paper("d", "unknown", "rejected", "openreview_v1", ["F3"])])
+    assert groups == {"b": "bc"}
+    groups, refused, _ = merged(spark, [paper("a", "main", "accepted", "openreview_v1", ["F1"]), paper("b", "main", "accepted", "openreview_v1", ["F2"]), paper("c", "main", "accepted", "pmlr", (), ["P1"])])
+    assert groups == {} and len(refused) == 2  # which one is listed?
+
+
+def test_imports_do_not_take_a_status(spark):
+    paper = lambda i, status, source, forum=(), listed=(): (i, "ICLR", 2020, "Same title", None, "main", status, [source], list(forum), list(listed))
+    assert merged(spark, [paper("a", "rejected", "openreview_v2", ["F1"]), paper("b", "accepted", "ris")])[0] == {}
+    assert merged(spark, [paper("a", "rejected", "openreview_v2", ["F1"]), paper("b", "accepted", "ris", ["F1"])])[0] == {"a": "ab"}  # the forum link
+    assert merged(spark, [paper("a", "rejected", "openreview_v2", ["F1"]), paper("b", "accepted", "ris"), paper("c", "accepted", "pmlr", (), ["P1"])])[0] == {"a": "abc"}  # beside a crawled listing
+    assert merged(spark, [paper("a", "rejected", "ris"), paper("b", "accepted", "ris")])[0] == {}
+
+
+def test_survivor_has_the_forum_id(spark):
+    paper = lambda i, source, forum=(): (i, "ICLR", 2020, "Same title", None, "main", "accepted", [source], list(forum), [])
+    groups, _, merges = merged(spark, [paper("a", "dblp"), paper("b", "openreview_v2", ["F1"]), paper("c", "pmlr")])
+    assert groups == {"b": "abc"}
+    ids = spark.createDataFrame([("a",), ("b",), ("c",), ("z",)], "id string")
+    assert {tuple(r) for r in resolve.follow_merges(ids, merges).collect()} == {("a", "b"), ("b", "b"), ("c", "b"), ("z", "z")}
+    chain = spark.createDataFrame([("b", "c", "x"), ("a", "b", "y")], "survivor_id string, merged_id string, rule string")
+    assert {tuple(r) for r in resolve.follow_merges(ids, chain).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("z", "z")}
+
+
+def test_a_title_of_very_many_records(spark):
+    """Groups are decided from sums and extremes; a title that thousands share is refused without gathering them."""
+    rows = [(f"r{i:05}", "ICLR", 2020, "Introduction", None, "main", "accepted", ["dblp"], [], []) for i in range(3000)]
+    groups, refused, _ = merged(spark, rows)
+    assert groups == {} and len(refused) == 2999 and {x[0] for x in refused} == {"r00000"}
+
+
 def test_snapshots(spark):
     base = [("x", "t", None, "ICLR", 2020, "main", "accepted"), ("y", "t2", "a", "ICLR", 2020, "main", "accepted")]
     schema = "id string, title string, abstract string, venue string, year int, track string, status string"
