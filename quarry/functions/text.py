@@ -148,7 +148,8 @@ def utc_z(ts: Column) -> Column:
 
 
 # -- html and inverted indexes -----------------------------------------------------------------------------
-_BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
+#: Tags that separate words.
+BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 
 
 class _Text(HTMLParser):
@@ -161,7 +162,7 @@ class _Text(HTMLParser):
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ("script", "style"):
             self.hidden += 1
-        elif tag in _BLOCKS:
+        elif tag in BLOCKS:
             self.parts.append(" ")
         elif tag == "meta":
             found = dict(attrs)
@@ -171,7 +172,7 @@ class _Text(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
-        elif tag in _BLOCKS:
+        elif tag in BLOCKS:
             self.parts.append(" ")
 
     def handle_data(self, data: str) -> None:

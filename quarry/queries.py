@@ -16,8 +16,6 @@ from quarry.operators.corpus import papers, postings
 from quarry.operators.highlight import highlight
 from quarry.operators.search import Index
 from quarry.plans.ast import Wildcard
-from quarry.plans.canonical import concept_groups, conjuncts
-from quarry.plans.duck import sql
 from quarry.plans.parse import parse
 from quarry.sources import export
 
@@ -226,9 +224,11 @@ def survivor_id(spark, d):
 
 
 def fill_abstracts(spark, d):
-    p = papers(spark, d).withColumn("title_key", resolve.title_key(F.col("title")))
-    records = p.select("id", F.lit(None).cast("string").alias("doi"), "venue", "year", "title_key", F.when(F.col("abstract_kind") == "official", F.col("abstract")).alias("abstract"))
-    works = p.where("abstract_kind = 'openalex'").select(F.lit(None).cast("string").alias("doi"), "venue", "year", "title_key", "abstract")
+    """A third of the records and works have a DOI that some share."""
+    p = papers(spark, d).withColumn("title_key", resolve.title_key(F.col("title"))).withColumn("n", F.expr("cast(substring(id, 5) as bigint)"))
+    p = p.withColumn("doi", F.when(F.col("n") % 3 == 0, F.concat(F.lit("10.1/A"), (F.col("n") % 200).cast("string"))))
+    records = p.select("id", "doi", "venue", "year", "title_key", F.when(F.col("abstract_kind") == "official", F.col("abstract")).alias("abstract"))
+    works = p.where("abstract_kind = 'openalex'").select(F.lower("doi").alias("doi"), "venue", "year", "title_key", "abstract")
     return resolve.fill_abstracts(records, works).groupBy("how").agg(F.count("*").alias("n"))
 
 
@@ -401,30 +401,84 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 # -- oracles -------------------------------------------------------------------------------------------------
-def _where(q: str) -> str:
-    return sql(tree(q).effective)
+def _held(*texts: str) -> str:
+    """Any of some words or phrases in either field."""
+    return "(" + " OR ".join(f"contains(T_{f}, ' {t} ')" for t in texts for f in ("title", "abstract")) + ")"
+
+
+def _like(pattern: str, *fields: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches(T_{f}, '{pattern}')" for f in fields or ("title", "abstract")) + ")"
+
+
+#: Every query as a condition on the corpus, written from the language's rules, not by the parser.
+_KNOWN = "track IN ('main', 'datasets_benchmarks', 'position', 'workshop', 'competition', 'unknown') AND status IN ('accepted', 'rejected', 'desk_rejected', 'unknown')"
+_DEFAULT = "track IN ('datasets_benchmarks', 'main', 'position') AND status = 'accepted'"
+_THE_KNOWN, _AND_KNOWN = f"({_held('the')} AND {_KNOWN})", f"({_held('and')} AND {_KNOWN})"
+_WHERE = {
+    "flagship": f"{_held('the', 'la')} AND NOT {_held('of the')} AND year BETWEEN 2013 AND 2020 AND {_DEFAULT}",
+    "term": _THE_KNOWN,
+    "term_title": f"contains(T_title, ' the ') AND {_KNOWN}",
+    "term_abstract": f"contains(T_abstract, ' the ') AND {_KNOWN}",
+    "wildcard_star": f"{_like(' lement')} AND {_KNOWN}",
+    "wildcard_dollar": f"{_like(' tion[^ ]? ')} AND {_KNOWN}",
+    "phrase": f"{_held('of the')} AND {_KNOWN}",
+    "phrase_wildcard": f"({_like(' of lement')} OR ({_like(' les eaux[^ ]? ')} AND {_KNOWN})) AND {_DEFAULT}",
+    "near": f"({_like(' the ([^ ]+ ){0,3}and ', 'abstract')} OR {_like(' and ([^ ]+ ){0,3}the ', 'abstract')}) AND {_KNOWN}",
+    "near_self": f"{_held('the the')} AND {_KNOWN}",
+    "near_phrase": f"({_like(' of the ([^ ]+ ){0,5}and ')} OR {_like(' and ([^ ]+ ){0,5}of the ')}) AND {_KNOWN}",
+    "and_or_not": f"{_held('the', 'la', 'der')} AND {_held('and', 'et', 'und')} AND NOT {_held('of')} AND {_KNOWN}",
+    "nested_not": f"{_held('the')} AND NOT ({_held('of')} AND NOT {_held('and', 'is')}) AND {_KNOWN}",
+    "not_null_abstract": f"NOT contains(T_abstract, ' the ') AND contains(T_title, ' the ') AND {_KNOWN}",
+    "filter_venue": f"{_held('the', 'la')} AND venue IN ('EN', 'FR') AND {_KNOWN}",
+    "filter_year_ranges": f"{_held('the')} AND (year BETWEEN 2014 AND 2017 OR year IN (2021, 2022)) AND {_KNOWN}",
+    "filter_track_default": f"{_held('the')} AND track = 'main' AND status = 'accepted'",
+    "filter_abstract_kind": f"{_held('the')} AND abstract_kind = 'openalex' AND {_KNOWN}",
+}
+_RANKED_ALL = f"({_held('the', 'la')} OR {_held('und')} AND {_KNOWN}) AND {_DEFAULT}"
+_MIXED_A, _MIXED_B, _MIXED_REST = _held("the", "la", "der"), _held("and", "et", "und"), "NOT contains(T_abstract, ' of ')"
+_MIXED_KNOWN = f"{_MIXED_A} AND {_MIXED_B} AND {_MIXED_REST} AND venue IN ('EN', 'FR')"
+
+
+#: The canonical forms, written out from the rules of the language.
+_KNOWN_FORM = "track:(competition OR datasets_benchmarks OR main OR position OR unknown OR workshop) AND status:(accepted OR desk_rejected OR rejected OR unknown)"
+_DEFAULT_FORM = "track:(datasets_benchmarks OR main OR position) AND status:accepted"
+_TEXT_FORM = {
+    "term": "the",
+    "term_title": "title:the",
+    "term_abstract": "abstract:the",
+    "wildcard_star": "lement*",
+    "wildcard_dollar": "tion$",
+    "phrase": '"of the"',
+    "near": '(abstract:"and" NEAR/3 abstract:the)',
+    "near_self": "(the NEAR/0 the)",
+    "near_phrase": '("and" NEAR/5 "of the")',
+    "and_or_not": '(the OR la OR der) AND ("and" OR et OR und) AND NOT of',
+    "nested_not": 'the AND NOT (of AND NOT ("and" OR is))',
+    "not_null_abstract": "NOT abstract:the AND title:the",
+    "filter_venue": "(the OR la) AND venue:(EN OR FR)",
+    "filter_year_ranges": "the AND year:(2014..2017 OR 2021..2022)",
+}
+_CANONICAL = {name: (f"({form} AND {_KNOWN_FORM})", f"({form} AND {_KNOWN_FORM})") for name, form in _TEXT_FORM.items()} | {
+    "flagship": (f'((the OR la) AND NOT "of the" AND year:2013..2020 AND {_DEFAULT_FORM})', '((the OR la) AND NOT "of the" AND year:2013..2020)'),
+    "phrase_wildcard": (f'(("of lement*" OR ("les eaux$" AND {_KNOWN_FORM})) AND {_DEFAULT_FORM})', f'("of lement*" OR ("les eaux$" AND {_KNOWN_FORM}))'),
+    "filter_track_default": ("(the AND track:main AND status:accepted)", "(the AND track:main)"),
+    "filter_abstract_kind": (f"(the AND {_KNOWN_FORM} AND abstract_kind:openalex)", f"(the AND {_KNOWN_FORM} AND abstract_kind:openalex)"),
+}
 
 
 def _facet_sql() -> str:
-    parts = conjuncts(tree(MIXED).effective)
-    from quarry.plans.canonical import all_of, filter_of
-
+    filters = {"venue": "venue IN ('EN', 'FR')", "track": "track IN ('datasets_benchmarks', 'main', 'position')", "status": "status = 'accepted'"}
     sides = []
     for f in ("venue", "year", "track", "status", "abstract_kind"):
-        kept = all_of(c for c in parts if not (filter_of(c) and filter_of(c).field == f))
-        sides.append(f"SELECT '{f}' AS field, CAST({f} AS VARCHAR) AS value, count(*) AS n FROM corpus WHERE {sql(kept)} GROUP BY {f}")
+        kept = " AND ".join([_MIXED_A, _MIXED_B, _MIXED_REST, *(w for name, w in filters.items() if name != f)])
+        sides.append(f"SELECT '{f}' AS field, CAST({f} AS VARCHAR) AS value, count(*) AS n FROM corpus WHERE {kept} GROUP BY {f}")
     return W + " UNION ALL ".join(sides)
 
 
 def _group_sql() -> str:
-    from quarry.plans.canonical import all_of
-
-    groups, kept = concept_groups(tree(MIXED).effective)
-    rows = []
-    for i, g in enumerate(groups):
-        rest = [x for j, x in enumerate(groups) if j != i]
-        rows.append(f"SELECT {i} AS group_no, count(*) FILTER (WHERE {sql(all_of([*kept, g]))}) AS alone, count(*) FILTER (WHERE {sql(all_of([*kept, *rest]))}) AS without FROM corpus")
-    return W + " UNION ALL ".join(rows)
+    kept = f"{_MIXED_REST} AND venue IN ('EN', 'FR') AND {_DEFAULT}"
+    rows = [(0, _MIXED_A, _MIXED_B), (1, _MIXED_B, _MIXED_A)]
+    return W + " UNION ALL ".join(f"SELECT {i} AS group_no, count(*) FILTER (WHERE {own} AND {kept}) AS alone, count(*) FILTER (WHERE {other} AND {kept}) AS without FROM corpus" for i, own, other in rows)
 
 
 def _bm25_sql() -> str:
@@ -437,13 +491,12 @@ def _bm25_sql() -> str:
             idf = f"ln(1 + (n_docs - {df} + 0.5) / ({df} + 0.5))"
             parts.append(f"{weight} * {idf} * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len(tok_{f}) / avg_{f}))")
     return f"""{W}, {VOCAB}, st AS (SELECT count(*) AS n_docs, avg(len(tok_title)) AS avg_title, avg(len(tok_abstract)) AS avg_abstract FROM corpus),
-scored AS (SELECT id, round({" + ".join(parts)}, 9) AS score FROM corpus, st WHERE {_where(RANKED)})
+scored AS (SELECT id, round({" + ".join(parts)}, 9) AS score FROM corpus, st WHERE {_held('the', 'la', 'und')} AND {_DEFAULT})
 SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 50"""
 
 
 def _exclusion_sql() -> str:
-    found = tree(RANKED)
-    return f"""{W}, r AS (SELECT CASE WHEN track NOT IN ('datasets_benchmarks', 'main', 'position') THEN 'track' WHEN status <> 'accepted' THEN 'status' END AS field, track, status FROM corpus WHERE {sql(found.identification)}),
+    return f"""{W}, r AS (SELECT CASE WHEN track NOT IN ('datasets_benchmarks', 'main', 'position') THEN 'track' WHEN status <> 'accepted' THEN 'status' END AS field, track, status FROM corpus WHERE {_held('the', 'la', 'und')}),
 c AS (SELECT field, CASE field WHEN 'track' THEN track ELSE status END AS value, count(*) AS n FROM r WHERE field IS NOT NULL GROUP BY 1, 2)
 SELECT coalesce(c.field, u.field) AS field, coalesce(c.value, u.value) AS value, coalesce(n, 0) AS n
 FROM c FULL JOIN (SELECT 'track' AS field, 'unknown' AS value UNION ALL SELECT 'status', 'unknown') u ON c.field = u.field AND c.value = u.value"""
@@ -453,25 +506,24 @@ _KEYED = "keyed AS (SELECT *, array_to_string(tok_title, ' ') AS t, CASE WHEN le
 
 
 def oracles() -> dict[str, str]:
-    mixed, ranked = tree(MIXED), tree(RANKED)
-    out = {name: f"{W} SELECT id, venue, year, track, status FROM corpus WHERE {_where(q)}" for name, q in SEARCHES.items()}
-    the, and_ = _where("the" + ALL), _where("and" + ALL)
+    out = {name: f"{W} SELECT id, venue, year, track, status FROM corpus WHERE {where}" for name, where in _WHERE.items()}
+    the, and_, ranked = _THE_KNOWN, _AND_KNOWN, f"{_held('the', 'la', 'und')} AND {_DEFAULT}"
     ids = lambda p: f"SELECT id FROM corpus WHERE {p}"
     earlier = "earlier AS (SELECT * REPLACE (CASE WHEN year = 2018 THEN 'unknown' ELSE status END AS status) FROM papers WHERE year <> 2016)"
     out |= {
         "vocab_expand": f"{W}, {VOCAB} SELECT DISTINCT 'lement*' AS wildcard, term FROM vocab WHERE starts_with(term, 'lement') UNION ALL SELECT DISTINCT 'whi*', term FROM vocab WHERE starts_with(term, 'whi')",
-        "match_total": f"{W} SELECT count(*) FILTER (WHERE {sql(mixed.effective)}) AS total, count(*) FILTER (WHERE {sql(mixed.identification)}) AS identified, count(*) FILTER (WHERE {sql(mixed.identification)} AND NOT {sql(mixed.effective)}) AS removed, count(*) FILTER (WHERE {sql(mixed.identification)} AND NOT {sql(mixed.effective)} AND (track = 'unknown' OR status = 'unknown')) AS unclassified FROM corpus",
+        "match_total": f"{W} SELECT count(*) FILTER (WHERE {_MIXED_KNOWN} AND {_DEFAULT}) AS total, count(*) FILTER (WHERE {_MIXED_KNOWN}) AS identified, count(*) FILTER (WHERE {_MIXED_KNOWN} AND NOT ({_DEFAULT})) AS removed, count(*) FILTER (WHERE {_MIXED_KNOWN} AND NOT ({_DEFAULT}) AND (track = 'unknown' OR status = 'unknown')) AS unclassified FROM corpus",
         "setops_intersect": f"{W} {ids(the)} INTERSECT {ids(and_)}",
         "setops_union": f"{W} {ids(the)} UNION {ids(and_)}",
         "setops_except": f"{W} {ids(the)} EXCEPT {ids(and_)}",
         "facets_disjunctive": _facet_sql(),
-        "combos": f"{W} SELECT venue, year, track, status, abstract_kind, count(*) AS n FROM corpus WHERE {sql(ranked.identification)} GROUP BY ALL",
+        "combos": f"{W} SELECT venue, year, track, status, abstract_kind, count(*) AS n FROM corpus WHERE {_held('the', 'la', 'und')} GROUP BY ALL",
         "exclusions": _exclusion_sql(),
         "group_counts": _group_sql(),
         "bm25_page": _bm25_sql(),
-        "sort_year_desc": f"{W} SELECT id, year FROM corpus WHERE {_where(RANKED + ALL)} ORDER BY year DESC, id LIMIT 100",
-        "sort_year_asc": f"{W} SELECT id, year FROM corpus WHERE {_where(RANKED + ALL)} ORDER BY year, id LIMIT 100",
-        "paging": f"{W} SELECT id, year FROM corpus WHERE {_where(RANKED + ALL)} ORDER BY year DESC, id LIMIT 40 OFFSET 30",
+        "sort_year_desc": f"{W} SELECT id, year FROM corpus WHERE {_RANKED_ALL} ORDER BY year DESC, id LIMIT 100",
+        "sort_year_asc": f"{W} SELECT id, year FROM corpus WHERE {_RANKED_ALL} ORDER BY year, id LIMIT 100",
+        "paging": f"{W} SELECT id, year FROM corpus WHERE {_RANKED_ALL} ORDER BY year DESC, id LIMIT 40 OFFSET 30",
         "vocab_df": f"{W}, {VOCAB} SELECT field, term, df FROM vocab",
         "field_stats": f"{W} SELECT 'title' AS field, count(*) AS n, CAST(sum(len(tok_title)) AS BIGINT) AS tokens, round(avg(len(tok_title)), 6) AS avg_len FROM corpus UNION ALL SELECT 'abstract', count(*), CAST(sum(len(tok_abstract)) AS BIGINT), round(avg(len(tok_abstract)), 6) FROM corpus",
         "postings_df": f"{W}, e AS (SELECT id, 'title' AS field, unnest(tok_title) AS term, unnest(range(len(tok_title))) AS p FROM corpus UNION ALL SELECT id, 'abstract', unnest(tok_abstract), unnest(range(len(tok_abstract))) FROM corpus), i AS (SELECT term, field, id, count(*) AS k, min(p) AS f FROM e GROUP BY ALL) SELECT term, field, count(*) AS df, CAST(sum(k) AS BIGINT) AS occurrences, min(f) AS first FROM i GROUP BY term, field",
@@ -492,10 +544,12 @@ SELECT field, bs AS source_a, source AS source_b, count(*) AS n FROM x GROUP BY
         "reconcile_unlisted": f"""{W}, {_KEYED}, l AS (SELECT DISTINCT venue, year, track, t FROM keyed WHERE year % 2 = 0 AND abstract_kind = 'openalex')
 SELECT id FROM keyed k WHERE status = 'accepted' AND EXISTS (SELECT 1 FROM l WHERE l.venue = k.venue AND l.year = k.year AND l.track = k.track) AND NOT EXISTS (SELECT 1 FROM l WHERE l.venue = k.venue AND l.year = k.year AND l.t = k.t AND l.t <> '')""",
         "survivor_id": f"{W} SELECT venue || CAST(year AS VARCHAR) AS g, coalesce(min(id) FILTER (WHERE track = 'main'), min(id)) AS survivor FROM papers GROUP BY 1",
-        "fill_abstracts": f"""{W}, {_KEYED}, works AS (SELECT venue, year, t, count(*) AS works FROM keyed WHERE abstract_kind = 'openalex' AND t <> '' GROUP BY ALL),
-s AS (SELECT venue, year, t, count(*) AS sharers FROM keyed GROUP BY ALL)
-SELECT CASE WHEN abstract_kind = 'official' THEN 'had_abstract' WHEN works IS NULL THEN 'no_work' WHEN works > 1 OR sharers > 1 THEN 'title_ambiguous' ELSE 'title' END AS how, count(*) AS n
-FROM keyed LEFT JOIN works USING (venue, year, t) LEFT JOIN s USING (venue, year, t) GROUP BY 1""",
+        "fill_abstracts": f"""{W}, {_KEYED}, d AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '10.1/A' || CAST(doc_id % 200 AS VARCHAR) END AS doi FROM keyed),
+w AS (SELECT * FROM d WHERE abstract_kind = 'openalex' AND abstract IS NOT NULL),
+by_doi AS (SELECT doi, count(DISTINCT abstract) AS texts FROM w WHERE doi IS NOT NULL GROUP BY doi),
+works AS (SELECT venue, year, t, count(*) AS works FROM w WHERE doi IS NULL AND t <> '' GROUP BY ALL), s AS (SELECT venue, year, t, count(*) AS sharers FROM d GROUP BY ALL)
+SELECT CASE WHEN abstract_kind = 'official' THEN 'had_abstract' WHEN texts > 1 THEN 'doi_duplicate' WHEN texts = 1 THEN 'doi' WHEN works IS NULL THEN 'no_work' WHEN works > 1 OR sharers > 1 THEN 'title_ambiguous' ELSE 'title' END AS how, count(*) AS n
+FROM d LEFT JOIN by_doi USING (doi) LEFT JOIN works USING (venue, year, t) LEFT JOIN s USING (venue, year, t) GROUP BY 1""",
         "snapshot_diff": f"""{W}, {earlier}, now AS (SELECT * FROM papers WHERE track <> 'workshop')
 SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change,
        CASE WHEN a.id IS NULL OR b.id IS NULL THEN '' ELSE 'status' END AS fields
@@ -513,29 +567,40 @@ SELECT venue, year, status, count(*) AS n FROM papers p WHERE NOT EXISTS (SELECT
         "snapshot_counts": f"{W} SELECT venue, year, track, status, count(*) AS n, count(abstract) AS with_abstract, count(DISTINCT source) AS n_sources FROM papers GROUP BY ALL",
         "ids_hash": f"{W} SELECT sha256(string_agg(id, chr(10) ORDER BY id)) AS ids_hash FROM corpus WHERE {the}",
         "content_hash": f"""{W} SELECT id, sha256('{{"abstract":' || coalesce(CAST(to_json(abstract) AS VARCHAR), 'null') || ',"status":' || CAST(to_json(status) AS VARCHAR) || ',"title":' || CAST(to_json(title) AS VARCHAR) || ',"track":' || CAST(to_json(track) AS VARCHAR) || ',"venue":' || CAST(to_json(venue) AS VARCHAR) || ',"year":' || CAST(year AS VARCHAR) || '}}') AS content_hash
-FROM papers WHERE NOT regexp_matches(coalesce(title || coalesce(abstract, ''), ''), '[\\x00-\\x09\\x0B-\\x1F]')""",
+FROM papers""",
         "same_paper_closure": f"{W}, {_KEYED}, l AS (SELECT DISTINCT t FROM keyed WHERE track = 'position' AND t <> '') SELECT id FROM keyed JOIN l USING (t)",
         "withheld": f"{W} SELECT track = 'position' AS withheld, count(*) AS n, count(CASE WHEN track <> 'position' THEN abstract END) AS with_abstract FROM papers GROUP BY 1",
         "rebuild_inverted_index": f"{W} SELECT id, array_to_string(tok_title, ' ') AS title FROM corpus WHERE len(tok_title) > 0",
-        "levenshtein_title": f"""{W}, k AS (SELECT id, venue, year, array_to_string(tok_title, ' ') AS k, tok_title[1] AS w FROM corpus WHERE len(tok_title) > 2 AND length(array_to_string(tok_title, ' ')) < 255),
-p AS (SELECT a.id AS id_a, b.id AS id_b, a.k AS x, b.k AS y, levenshtein(a.k, b.k) AS distance FROM k a JOIN k b ON a.venue = b.venue AND a.year = b.year AND a.w = b.w AND a.id < b.id)
+        "levenshtein_title": f"""{W}, k AS (SELECT id, venue, year, array_to_string(tok_title, ' ') AS k, length(array_to_string(tok_title, ' ')) AS n FROM corpus WHERE len(tok_title) > 2),
+p AS (SELECT a.id AS id_a, b.id AS id_b, a.k AS x, b.k AS y, levenshtein(a.k, b.k) AS distance FROM k a JOIN k b ON a.venue = b.venue AND a.year = b.year AND a.id < b.id AND abs(a.n - b.n) * 10 <= greatest(a.n, b.n))
 SELECT id_a, id_b, distance, CASE WHEN x = y THEN 'exact' ELSE 'similar' END AS verdict FROM p
-WHERE x = y OR (1 - distance / greatest(length(x), length(y)) >= 0.9 AND regexp_extract_all(x, '[0-9]+') = regexp_extract_all(y, '[0-9]+'))""",
+WHERE x = y OR (distance * 10 <= greatest(length(x), length(y)) AND regexp_extract_all(x, '[0-9]+') = regexp_extract_all(y, '[0-9]+'))""",
         "venue_era": f"""{W}, e AS (SELECT * FROM (VALUES {", ".join(f"('{v}', {y}, '{a}')" for v, (_, es) in CONFERENCES.items() for y, a in es)}) t(conf, first, acronym)),
 r AS (SELECT id, year, CASE venue WHEN 'EN' THEN 'NeurIPS' WHEN 'FR' THEN 'FAccT' ELSE 'ICML' END AS conf FROM papers)
 SELECT r.id, arg_max(acronym, first) AS acronym FROM r LEFT JOIN e ON e.conf = r.conf AND e.first <= r.year GROUP BY r.id""",
         "url_parts": r"SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host, regexp_matches(url, '^https?://[^\s/?#]+\S*$') AS is_url, CAST(regexp_extract(url, '/(\d+)', 1) AS BIGINT) AS article FROM pages",
         "inflections": f"""{W}, {VOCAB} SELECT term, CASE WHEN length(term) > 4 AND ends_with(term, 'ies') THEN term[:-4] || 'y' WHEN length(term) > 4 AND regexp_matches(term, '(ss|sh|ch|x|z)es$') THEN term[:-3]
-WHEN length(term) > 4 AND regexp_matches(term, '[^s]s$') THEN term[:-2] WHEN length(term) > 5 AND ends_with(term, 'ing') THEN term[:-4] WHEN length(term) > 4 AND ends_with(term, 'ed') THEN term[:-3] ELSE term END AS stem FROM vocab WHERE field = 'title'""",
+WHEN length(term) > 4 AND regexp_matches(term, '[^s]s$') THEN term[:-2] WHEN length(term) > 5 AND ends_with(term, 'ing') THEN term[:-4] WHEN length(term) > 4 AND ends_with(term, 'ed') THEN term[:-3] ELSE term END AS stem FROM (SELECT DISTINCT term FROM vocab)""",
         "one_line_titles": r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '\p{Cc}', ' ', 'g'), '\s+', ' ', 'g'))) AS line_sha256 FROM documents",
         "bibtex_keys": f"""{W}, b AS (SELECT id, lower(venue) || CAST(year AS VARCHAR) || CASE WHEN regexp_matches(lower(title), '[a-z0-9]') THEN regexp_extract(lower(title), '([a-z0-9]+)', 1) ELSE 'untitled' END AS base FROM papers),
 k AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS n, count(*) OVER (PARTITION BY base) AS many FROM b)
 SELECT id, CASE WHEN many = 1 THEN base WHEN n < 26 THEN base || chr(CAST(97 + n AS INTEGER)) ELSE base || chr(CAST(96 + n // 26 AS INTEGER)) || chr(CAST(97 + n % 26 AS INTEGER)) END AS bib_key FROM k""",
-        "ris_export": f"""{W}, f AS (SELECT *, trim(regexp_replace(title, '[\\r\\n]+', ' ', 'g')) AS ti, trim(regexp_replace(coalesce(abstract, ''), '[\\r\\n]+', ' ', 'g')) AS ab FROM corpus WHERE {sql(ranked.effective)})
+        "ris_export": f"""{W}, f AS (SELECT *, trim(regexp_replace(title, '[\\r\\n]+', ' ', 'g')) AS ti, trim(regexp_replace(coalesce(abstract, ''), '[\\r\\n]+', ' ', 'g')) AS ab FROM corpus WHERE {ranked})
 SELECT id, concat_ws(chr(10), 'TY  - CONF', CASE WHEN ti <> '' THEN 'TI  - ' || ti END, CASE WHEN ab <> '' THEN 'AB  - ' || ab END, 'PY  - ' || CAST(year AS VARCHAR), 'T2  - ' || venue, 'ID  - ' || id, 'ER  - ') AS value FROM f""",
+        "html_text": f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<![^>]*>', '', 'g'), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?({"|".join(sorted(T.BLOCKS))})([ /][^>]*)?>', ' ', 'g'), '</?[A-Za-z][^>]*>', '', 'g') AS h FROM a)
+SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS text FROM b""",
+        "csv_export": f"""{W} SELECT id, concat_ws(',', {", ".join(f"CASE WHEN regexp_matches({c}, '[,\"' || chr(10) || chr(13) || ']') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE {c} END" for c in [f"(CASE WHEN left({v}, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN chr(39) || {v} ELSE {v} END)" for v in [f"coalesce(CAST({n} AS VARCHAR), '')" for n in export.CSV_COLUMNS]])}) AS value
+FROM corpus WHERE {ranked}""",
+        "bibtex_export": f"""{W}, r AS (SELECT * FROM corpus WHERE {ranked}),
+b AS (SELECT id, lower(venue) || CAST(year AS VARCHAR) || CASE WHEN regexp_matches(lower(title), '[a-z0-9]') THEN regexp_extract(lower(title), '([a-z0-9]+)', 1) ELSE 'untitled' END AS base FROM r),
+k AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS n, count(*) OVER (PARTITION BY base) AS many FROM b),
+f AS (SELECT r.id, venue, year, status, base || CASE WHEN many = 1 THEN '' WHEN n < 26 THEN chr(CAST(97 + n AS INTEGER)) ELSE chr(CAST(96 + n // 26 AS INTEGER)) || chr(CAST(97 + n % 26 AS INTEGER)) END AS bib_key,
+ regexp_replace(trim(regexp_replace(title, '[\\r\\n]+', ' ', 'g')), '[{{}}\\\\]', '', 'g') AS ti, regexp_replace(trim(regexp_replace(coalesce(abstract, ''), '[\\r\\n]+', ' ', 'g')), '[{{}}\\\\]', '', 'g') AS ab FROM r JOIN k ON k.id = r.id)
+SELECT id, concat_ws(chr(10), CASE WHEN status = 'accepted' THEN '@inproceedings{{' ELSE '@misc{{' END || bib_key || ',', CASE WHEN ti <> '' THEN '  title = {{' || ti || '}},' END, '  booktitle = {{' || venue || '}},', '  year = {{' || CAST(year AS VARCHAR) || '}},', CASE WHEN ab <> '' THEN '  abstract = {{' || ab || '}},' END, '}}') AS value FROM f""",
         "jsonl_export": f"""{W} SELECT id, '{{"abstract":' || coalesce(CAST(to_json(abstract) AS VARCHAR), 'null') || ',"abstract_kind":' || CAST(to_json(abstract_kind) AS VARCHAR) || ',"id":' || CAST(to_json(id) AS VARCHAR) || ',"status":' || CAST(to_json(status) AS VARCHAR) || ',"title":' || CAST(to_json(title) AS VARCHAR) || ',"track":' || CAST(to_json(track) AS VARCHAR) || ',"venue":' || CAST(to_json(venue) AS VARCHAR) || ',"year":' || CAST(year AS VARCHAR) || '}}' AS value
-FROM corpus WHERE {sql(ranked.effective)}""",
-        "canonicalise": " UNION ALL ".join(f"SELECT '{name}' AS name, '{_quote(tree(q).canonical)}' AS canonical, sha256('{_quote(tree(q).canonical)}' || chr(0) || '3' || chr(0) || '2') AS canonical_hash, '{_quote(tree(q).identification_query)}' AS identification" for name, q in SEARCHES.items()),
+FROM corpus WHERE {ranked}""",
+        "canonicalise": " UNION ALL ".join(f"SELECT '{name}' AS name, '{c}' AS canonical, sha256('{c}' || chr(0) || '3' || chr(0) || '2') AS canonical_hash, '{i}' AS identification" for name, (c, i) in _CANONICAL.items()),
         "match_ladder": f"""{W}, {_KEYED}, k AS (SELECT id, venue, year, track, t, CASE WHEN track = 'workshop' THEN id END AS forum, CASE WHEN track = 'main' THEN '10.1/' || CAST(year AS VARCHAR) || '.' || CAST(doc_id % 40 AS VARCHAR) END AS doi FROM keyed),
 c AS (SELECT * FROM k WHERE track <> 'unknown'),
 f AS (SELECT k.id AS ref_id, 0 AS o, 'forum_id' AS rule, c.id FROM k JOIN c ON k.forum = c.forum UNION ALL SELECT k.id, 2, 'doi', c.id FROM k JOIN c ON k.doi = c.doi AND k.venue = c.venue AND k.year = c.year
@@ -551,6 +616,3 @@ SELECT CASE WHEN status <> 'accepted' THEN 'filtered' WHEN abstract IS NULL THEN
     }
     return out
 
-
-def _quote(s: str) -> str:
-    return s.replace("'", "''")
