@@ -141,8 +141,8 @@ def _fill(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of at most STRETCH rows of a source those that are taken in order, others being passed over."""
-    rows = rows.sort_values("n")
+    """Of about STRETCH rows of a source those that are taken in order, others being passed over."""
+    rows = rows.sort_values(["q", "id", "text_hash", "row"])
     lack, taken = float(rows["lack"].iat[0]), []
     for size in rows["size"]:
         taken.append(size <= lack)
@@ -177,19 +177,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = materialize(known.drop("draw").withColumn("row", F.monotonically_increasing_id()), "known")
 
     marked, lacks = _fill(known.where("q is not null").withColumn("gap", F.col("rest")))
-    waiting = marked.where("not fits and size > 0").select("sno", "row", "q", "id", "text_hash", "size")
+    waiting = marked.where("not fits and size > 0").select("sno", "row", "q", "bin", "id", "text_hash", "size")
     later: list[DataFrame] = []
-    place = F.row_number().over(Window.partitionBy("sno").orderBy("q", "id", "text_hash", "row"))
     while True:
-        fitting = waiting.join(lacks, "sno").where("size <= lack")
-        some = fitting.withColumn("n", place).where(F.col("n") <= STRETCH)
+        fitting = materialize(waiting.join(lacks, "sno").where("size <= lack"), "fitting")
+        # The bins of the first STRETCH documents of each source.
+        counts = fitting.groupBy("sno", "bin").agg(F.count("*").alias("n"))
+        ahead = F.sum("n").over(Window.partitionBy("sno").orderBy("bin")) - F.col("n")
+        cut = counts.withColumn("ahead", ahead).where(F.col("ahead") < STRETCH).groupBy("sno").agg(F.max("bin").alias("last_bin"))
+        some = fitting.join(cut, "sno").where("bin <= last_bin")
         took = materialize(some.groupBy("sno").applyInPandas(_greedy, "sno long, row long, size long"), "took")
         if took.isEmpty():  # the first that fits is always taken
             break
         later.append(took.select("row"))
         words = took.groupBy("sno").agg(F.sum("size").alias("words"))
         lacks = materialize(lacks.join(words, "sno", "left").select("sno", (F.col("lack") - F.coalesce("words", F.lit(0))).alias("lack")), "lacks")
-        waiting = materialize(fitting.join(took.select("row"), "row", "left_anti").drop("lack"), "waiting")
+        waiting = fitting.join(took.select("row"), "row", "left_anti").drop("lack")
     if later:
         also = reduce(DataFrame.unionByName, later).withColumn("also", F.lit(True))
         marked = marked.join(also, "row", "left").withColumn("fits", F.col("fits") | F.col("also").isNotNull()).drop("also")
