@@ -54,26 +54,36 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, mark, pos, width, items): every place where a window occurs. pos counts words from 0; mark is the text's hash."""
+    """(id, mark, n_words, pos, width, items): every place where a window occurs, and one row without items for every text.
+
+    pos counts words from 0; mark is the text's hash.
+    """
     windows = materialize(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
     size = sum((F.octet_length(F.array_join(c, "")) + 16 * F.size(c) for c in ("gram", "items")), F.lit(32))
     sent = (windows.agg(F.sum(size.cast("long"))).first()[0] or 0) <= broadcast_bytes
     probed = F.least(F.size("gram"), F.lit(PROBE if sent else window))
-    probes = sorted(r["k"] for r in windows.select(probed.alias("k")).distinct().collect())  # at most ``window`` values
+    probes = sorted((r["k"] for r in windows.select(probed.alias("k")).distinct().collect()), reverse=True)  # at most ``window`` values
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words(F.col(text_col)).alias("w"))
-    # The outer form, since the planner puts a test of size(w) before the other and so splits every text twice.
+    # The outer form keeps texts without words; the planner would also put a test of size(w) before the other and split every text twice.
     places = base.select("id", "mark", "w", F.posexplode_outer("w").alias("pos", "first"))
+    head = F.coalesce("pos", F.lit(0)) == 0
     found = None
     for k in probes or [PROBE]:
         side = windows.where(probed == k)
-        side = side.select("items", "gram", F.size("gram").alias("width"), F.xxhash64(*[F.get("gram", F.lit(j)) for j in range(k)]).alias("probe"))
+        side = side.select("items", "gram", F.size("gram").alias("width"), F.xxhash64(*[F.get("gram", F.lit(j)) for j in range(k)]).alias("key"))
         probe = F.xxhash64(F.col("first"), *[F.get("w", F.col("pos") + j) for j in range(1, k)])
         each = places.select("id", "mark", "w", "pos", probe.alias("probe"))
         if sent:
-            hit = each.join(F.broadcast(side), "probe").where(F.slice("w", F.col("pos") + 1, F.col("width")) == F.col("gram")).select("id", "mark", "pos", "width", "items")
+            same = (F.col("probe") == F.col("key")) & (F.slice("w", F.col("pos") + 1, F.col("width")) == F.col("gram"))
+            met = each.join(F.broadcast(side), same, "left")
+            hit = met.where(F.col("items").isNotNull() | (head if found is None else F.lit(False)))
+            hit = hit.select("id", "mark", F.size("w").cast("long").alias("n_words"), "pos", "width", "items")
         else:
-            hit = _verified(each.where("pos is not null").select("id", "mark", "pos", "probe").join(side, "probe"), base)
+            hit = _verified(each.where("pos is not null").select("id", "mark", "pos", "probe").join(side, F.col("probe") == F.col("key")), base)
         found = hit if found is None else found.unionByName(hit)
+    if not sent:
+        none = [F.lit(None).cast(t).alias(c) for c, t in found.dtypes if c in ("pos", "width", "items")]
+        found = found.unionByName(base.select("id", "mark", F.size("w").cast("long").alias("n_words"), *none))
     return found
 
 
@@ -83,23 +93,23 @@ def _verified(met: DataFrame, base: DataFrame) -> DataFrame:
     lists = lists.select(F.col("id").alias("met_id"), F.col("mark").alias("met_mark"), "met")
     joined = base.join(lists, F.col("id").eqNullSafe(F.col("met_id")) & (F.col("mark") == F.col("met_mark")))
     true = F.filter("met", lambda m: F.slice("w", m["pos"] + 1, m["width"]) == m["gram"])
-    return joined.select("id", "mark", F.explode(true).alias("m")).select("id", "mark", "m.pos", "m.width", "m.items")
+    return joined.select("id", "mark", F.size("w").cast("long").alias("n_words"), F.explode(true).alias("m")).select("id", "mark", "n_words", "m.pos", "m.width", "m.items")
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
     """(id, mark, n_words, n_hit, n_items, items, contaminated) per row of docs."""
     places = hits(docs, benchmark, id_col, text_col, **kwargs)
-    spans = F.sort_array(F.collect_set(F.struct("pos", (F.col("pos") + F.col("width")).alias("stop"))))
+    spans = F.sort_array(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("pos", (F.col("pos") + F.col("width")).alias("stop")))))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))
     covered = F.aggregate(
         "spans",
         start,
         lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["pos"], acc["upto"]))).alias("n"), F.greatest(acc["upto"], s["stop"]).alias("upto")),
     )["n"]
-    of = places.select("id", "mark", "pos", "width", F.explode_outer("items").alias("item"))
-    summed = of.groupBy("id", "mark").agg(spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
-    summed = summed.select(F.col("id").alias("hit_id"), F.col("mark").alias("hit_mark"), covered.alias("n_hit"), "items", "spans")
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.coalesce(F.regexp_count(text_col, F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    of = places.select("id", "mark", "n_words", "pos", "width", "items", F.explode_outer("items").alias("item"))
+    summed = of.groupBy("id", "mark").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    summed = summed.select(F.col("id").alias("hit_id"), F.col("mark").alias("hit_mark"), "n_words", covered.alias("n_hit"), "items", F.when(F.size("spans") > 0, F.col("spans")).alias("spans"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
     joined = base.join(summed, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(
