@@ -63,6 +63,17 @@ def cap_list(items: Column, most: int) -> Column:
     return F.slice(items, 1, most)
 
 
+@F.pandas_udf(T.StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else ud.normalize("NFKC", x).casefold())
+
+
+def sort_title(title: Column) -> Column:
+    """The key of the title order: NFKC, then case folded. ASCII stays in the JVM and reaches Python as nulls."""
+    plain = F.octet_length(title) == F.char_length(title)
+    return F.when(plain, F.lower(title)).otherwise(_folded(F.when(~plain, title)))
+
+
 def inflection_stem(token: Column) -> Column:
     """One English inflection removed by fixed rules; short tokens stay."""
     long = F.char_length(token) > 4

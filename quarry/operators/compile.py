@@ -174,4 +174,27 @@ def bm25(n: Node | None, expansions: dict, df: dict[tuple[str, str], int], stats
 
 
 def _tf(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda t: t == F.lit(term))).cast("double")
+    return (F.size(tokens) - F.size(F.array_remove(tokens, term))).cast("double")
+
+
+def required(n: Node | None, expansions: dict[tuple[str, str], list[str]]) -> list[frozenset[tuple[str, str]]]:
+    """Sets of (field, term) of which every match holds at least one each. Negations and filters require nothing."""
+
+    def item(i: Term | Wildcard, fields) -> frozenset:
+        terms = [i.token] if isinstance(i, Term) else expansions.get((i.stem, i.op), [])
+        return frozenset((f, t) for f in fields for t in terms)
+
+    def leaf(x, field: str | None) -> list[frozenset]:
+        if isinstance(x, Near):
+            return leaf(x.left, field) + leaf(x.right, field)
+        fields = [field] if field else list(TEXT_FIELDS)
+        return [item(i, fields) for i in (x.items if isinstance(x, Phrase) else (x,))]
+
+    if n is None or isinstance(n, (Not, Filter)):
+        return []
+    if isinstance(n, And):
+        return [s for c in n.children for s in required(c, expansions)]
+    if isinstance(n, Or):  # one of the clauses holds: the smallest set of each, together
+        sides = [required(c, expansions) for c in n.children]
+        return [frozenset().union(*(min(s, key=len) for s in sides))] if all(sides) else []
+    return leaf(n, n.field)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,16 @@ def field_stats(corpus: DataFrame) -> DataFrame:
     return sides[0].unionByName(sides[1]).groupBy("field").agg(F.count("*").alias("n"), F.sum("len").alias("tokens"), F.avg("len").alias("avg_len"))
 
 
+#: Folders over which postings are spread.
+BUCKETS = 64
+
+
+def bucket_of(term: str) -> int:
+    return zlib.crc32(term.encode()) % BUCKETS
+
+
 def postings(corpus: DataFrame) -> DataFrame:
-    """(term, field, id, positions): the inverted index with positions, for corpora too large to scan per query."""
-    sides = [corpus.select("id", F.lit(f).alias("field"), F.posexplode(F.col(f"tok_{f}")).alias("pos", "term")) for f in ("title", "abstract")]
-    return sides[0].unionByName(sides[1]).groupBy("term", "field", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(bucket, term, field, id, venue, year, positions): the inverted index with positions."""
+    sides = [corpus.select("id", "venue", "year", F.lit(f).alias("field"), F.posexplode(F.col(f"tok_{f}")).alias("pos", "term")) for f in TEXT_FIELDS]
+    found = sides[0].unionByName(sides[1]).groupBy("term", "field", "id", "venue", "year").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return found.select((F.crc32("term") % BUCKETS).cast("int").alias("bucket"), "term", "field", "id", "venue", "year", "positions")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Column order of the CSV export, and what a spreadsheet would run.
@@ -63,9 +63,10 @@ FORMATS = {"ris": ris, "csv": csv, "bibtex": bibtex, "jsonl": jsonl}
 
 def write(records: DataFrame, form: str, path: str, expected: int | None = None) -> int:
     """Write all records in id order as text under path; a count other than expected is an error."""
-    rows = FORMATS[form](records)
-    rows.orderBy("id").select("value").write.mode("errorifexists").text(path)
-    written = rows.count()
+    seen = Observation()
+    rows = FORMATS[form](records).orderBy("id").observe(seen, F.count("*").alias("n"))
+    rows.select("value").write.mode("errorifexists").text(path)
+    written = seen.get["n"]
     if expected is not None and written != expected:
         raise ValueError(f"{written} records written, {expected} expected")
     return written
