@@ -145,6 +145,19 @@ def native_id(url: Column) -> Column:
     )
 
 
+def names_native(url: Column, native: Column) -> Column:
+    """Whether a link is the page of the paper with this native id, also one that stops after the page's hash."""
+    tail = r"^https?://(?:papers\.n(?:eur)?ips\.cc|proceedings\.(?:neurips|iclr)\.cc)(?:/paper_files)?/paper/[0-9]{4}/hash/([0-9a-fA-F]{32})/?$"
+    hashed = F.lower(F.regexp_extract(url, tail, 1))
+    prefix = F.when(host(url).startswith("proceedings.iclr"), "iclr-").otherwise("nips-")
+    return F.coalesce(native_id(url) == native, F.lit(False)) | F.coalesce((hashed != "") & (F.concat(prefix, hashed) == native), F.lit(False))
+
+
+def is_doi(s: Column) -> Column:
+    """Whether a text is a bare DOI: a registrant of four to nine digits, a slash, no white space."""
+    return F.coalesce(s.rlike(r"^10\.\d{4,9}(\.\d+)*/\S+$"), F.lit(False))
+
+
 def is_url(s: Column) -> Column:
     return F.coalesce(s.rlike(r"^https?://[^\s/?#]+[^\s]*$"), F.lit(False))
 
@@ -154,6 +167,31 @@ def start_page(pages: Column) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
+_NEEDS_SPLIT = r"^and\s|\sand\s|\sand$"
+
+
+def split_authors(entries: Column, count: Column) -> Column:
+    """struct (names, how): names as listed if no entry joins two; else split at commas and "and", if that gives ``count`` names; else refused."""
+    kept = F.filter(entries, lambda x: F.trim(x) != "")
+    needs = F.exists(kept, lambda x: x.rlike(_NEEDS_SPLIT))
+    bare = lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^and(\s+|$)", ""), r"(^|\s+)and$", "")
+    pieces = F.flatten(F.transform(kept, lambda x: F.transform(F.split(bare(x), r",\s+and\s+|,|\s+and\s+"), lambda p: F.trim(p))))
+    names = F.filter(pieces, lambda x: x != "")
+    fine = F.coalesce((F.size(names) == count) & ~F.exists(names, lambda x: x.rlike(_NEEDS_SPLIT)), F.lit(False))
+    none = F.array().cast("array<string>")
+    return F.when(entries.isNull(), F.struct(none.alias("names"), F.lit("listed").alias("how"))).otherwise(
+        F.struct(F.when(~needs, kept).when(fine, names).otherwise(none).alias("names"), F.when(~needs, "listed").when(fine, "split").otherwise("refused").alias("how"))
+    )
+
+
+def local_to_utc(local: Column, offset: Column) -> Column:
+    """The moment of a local wall time (text) at an offset of ±HH:MM up to fourteen hours; null where either is malformed."""
+    minutes = F.regexp_extract(offset, r"^[+-](\d\d):(\d\d)$", 1).try_cast("int") * 60 + F.regexp_extract(offset, r"^[+-](\d\d):(\d\d)$", 2).try_cast("int")
+    fine = offset.rlike(r"^[+-]\d\d:[0-5]\d$") & (minutes <= 14 * 60)
+    signed = F.when(offset.startswith("-"), -minutes).otherwise(minutes)
+    return F.when(fine, F.try_to_timestamp(F.concat(F.regexp_replace(local, "T", " "), F.lit("Z"))) - F.make_dt_interval(mins=signed))
+
+
 def utc_z(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

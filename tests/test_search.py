@@ -155,3 +155,66 @@ def test_highlights(index):
 def test_postings(index):
     row = postings(index.corpus).where((F.col("id") == "fx:9999") & (F.col("term") == "trust") & (F.col("field") == "title")).first()
     assert row["positions"] == [2]
+
+
+SCHEMA = "id string, title string, abstract string, venue string, year int, track string, status string, abstract_kind string"
+
+
+def test_postings_find_the_same(spark, rows, tmp_path):
+    """Candidates from postings are verified: the same matches as a scan, also laid out by venue and year."""
+    from quarry.operators import search
+
+    share, search.CANDIDATE_SHARE = search.CANDIDATE_SHARE, 1.0
+    large, search.LAYOUT_ROWS = search.LAYOUT_ROWS, 10
+    try:
+        found = Index.build(spark.createDataFrame(rows, SCHEMA), VALUES, path=str(tmp_path / "index"), with_postings=True)
+        rng = random.Random(21)
+        used = 0
+        for _ in range(12):
+            t = tree_of(rng)
+            used += found.candidates(t) is not None
+            assert {r["id"] for r in found.match(t).select("id").collect()} == naive(rows, t), render(canonicalize(t))
+        assert used > 3
+        assert "PartitionFilters" in found.corpus.where("venue = 'ICLR'")._jdf.queryExecution().toString()
+    finally:
+        search.CANDIDATE_SHARE, search.LAYOUT_ROWS = share, large
+
+
+def test_index_opens_again(spark, rows, tmp_path):
+    from quarry.operators.search import IndexMismatch, index_version
+
+    path = str(tmp_path / "index")
+    built = Index.build(spark.createDataFrame(rows, SCHEMA), VALUES, "snap", path)
+    again = Index.open(spark, path, verify=True)
+    assert again.version == built.version == index_version("snap") and again.count("trust") == built.count("trust")
+    assert again.values.values["venue"] == ("ICLR", "ICML") and again.meta()["records"] == len(rows)
+    assert again.parity().count() == 0
+    assert again.record("fx:0003")["title"] == rows[3][1] and again.record("none") is None
+    some = spark.createDataFrame([("fx:0001",), ("fx:0002",), ("fx:0002",), ("gone",)], "id string")
+    assert again.records(some).count() == 2 and again.count_value(some, "venue", rows[1][3]) == sum(r[3] == rows[1][3] for r in rows[1:3])
+    assert again.token_streams(some).count() == sum(len(normalize(r[1])) + len(normalize(r[2])) for r in rows[1:3])
+    with pytest.raises(Exception):
+        Index.build(spark.createDataFrame(rows, SCHEMA), VALUES, "snap", path)  # never overwritten
+    spark.createDataFrame(rows[:1], SCHEMA).withColumn("T_title", F.lit(" x ")).withColumn("T_abstract", F.lit("")).select("id", "T_title", "T_abstract").write.mode("append").parquet(path + "/corpus")
+    with pytest.raises(IndexMismatch):
+        Index.open(spark, path, verify=True)
+
+
+def test_ranks(index, rows):
+    import unicodedata as ud
+
+    fold = lambda r: (ud.normalize("NFKC", r[1]).casefold(), r[0])
+    got = {r["id"]: (r["ord"], r["title_rank"]) for r in index.ranks().collect()}
+    ids = sorted(r[0] for r in rows)
+    titles = [r[0] for r in sorted(rows, key=fold)]
+    assert got == {i: (ids.index(i), titles.index(i)) for i in ids}
+    page = [r["id"] for r in index.page("trust OR model OR the", "title", 0, 200).collect()]
+    assert page == [i for i in titles if i in set(page)]
+
+
+def test_ids_hash(index, rows):
+    import hashlib
+
+    ids = sorted(naive(rows, Term("trust")))
+    assert index.ids_hash(Term("trust")).first()[0] == hashlib.sha256("\n".join(ids).encode()).hexdigest()
+    assert index.ids_hash(Term("absent")).first()[0] == hashlib.sha256(b"").hexdigest()
