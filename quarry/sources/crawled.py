@@ -262,7 +262,7 @@ def lookup_table(spark: SparkSession, path: str, required: tuple[str, ...] = ())
     """(name, row): the named tables of a small TOML file, each as JSON; a table without a required key is an error."""
     import tomllib
 
-    tables = tomllib.loads(spark.read.option("wholetext", True).text(path).first()[0])  # a file kept by hand
+    tables = tomllib.loads(spark.read.text(path, wholetext=True).first()[0])  # a file kept by hand
     for name, row in tables.items():
         lacking = [k for k in required if not isinstance(row, dict) or k not in row]
         if lacking:
