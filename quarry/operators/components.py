@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        pairs = materialize(_small_star(_large_star(pairs)), "edges")
+        pairs = materialize(_small_star(_large_star(pairs)), "edges", replaces=pairs)
         now = _digest(pairs)
         if now == seen:
             break

@@ -178,11 +178,11 @@ def merge(records: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFra
     keyed = records.withColumn("title_key", title_key(F.col("title"))).withColumn("abstract_key", abstract_key(F.col("abstract")))
     keyed = materialize(keyed.withColumn("crawled", F.coalesce(crawled, F.lit(False))).withColumn("creative", F.coalesce(creative, F.lit(False))), "er")
     member = keyed.select("id", F.col("id").alias("cluster")).distinct()
-    merges = None
+    merges = clusters = None
     for _ in range(max_rounds):
         moved = False
         for rule in RULES:
-            clusters = materialize(_clusters(keyed, member), "clusters")
+            clusters = materialize(_clusters(keyed, member), "clusters", replaces=clusters)
             edges = _edges(clusters, rule)
             if edges.isEmpty():
                 continue
@@ -196,8 +196,8 @@ def merge(records: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFra
                 continue
             rows = moving.select(F.col("survivor").alias("survivor_id"), F.col("node").alias("merged_id"), F.lit(rule).alias("rule"))
             merges = rows if merges is None else merges.unionByName(rows)
-            member = member.join(moving.withColumnRenamed("node", "cluster"), "cluster", "left")
-            member = materialize(member.select("id", F.coalesce("survivor", "cluster").alias("cluster")), "member")
+            moved_on = member.join(moving.withColumnRenamed("node", "cluster"), "cluster", "left")
+            member = materialize(moved_on.select("id", F.coalesce("survivor", "cluster").alias("cluster")), "member", replaces=member)
             moved = True
         if not moved:
             break

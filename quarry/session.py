@@ -73,13 +73,20 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     The rows survive lost executors, the lineage is cut, and later plans see
-    the table's real size.
+    the table's real size. ``replaces`` is an earlier table that nothing reads
+    any more once this one is written: it is deleted, so that a loop does not
+    fill the disk.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._quarry_path = path
+    old = getattr(replaces, "_quarry_path", None)
+    if old:
+        remove(spark, old)
+    return found
