@@ -14,6 +14,7 @@ from quarry.operators import attribution, classify, resolve
 from quarry.operators.corpus import papers
 from quarry.operators.search import Index
 from quarry.plans.diagnose import cost_of_counting, terms_read, verified_clauses
+from quarry.plans.edit import filter_clauses, word_forms
 from quarry.queries import ALL, SEARCHES, VALUES, VOCAB, W, index, tree
 from quarry.session import fresh_path
 from quarry.sources import crawled, snapshots
@@ -249,6 +250,22 @@ def query_costs(spark, d):
     return spark.createDataFrame(rows, "name string, verified long, terms long, counting long")
 
 
+def query_clauses(spark, d):
+    """How each filter field stands in some queries: whether an interface may edit it, or why not."""
+    rows = []
+    for name in ("flagship", "phrase_wildcard", "filter_venue", "filter_track_default"):
+        for field, c in filter_clauses(tree(SEARCHES[name])).items():
+            shown = ",".join(c.values or [f"{r.lo}..{r.hi}" for r in c.ranges or ()])
+            rows.append((name, field, c.toggleable, c.reason, shown))
+    return spark.createDataFrame(rows, "name string, field string, editable boolean, reason string, shown string")
+
+
+def query_words(spark, d):
+    """Where "$" can be written after a word of a query."""
+    rows = [(f.token, f.edit, f.reason) for f in word_forms(tree('models the ai 2020 "trust" risk'))]
+    return spark.createDataFrame(rows, "token string, edit string, reason string")
+
+
 def snapshot_round_trip(spark, d):
     """The cells of a snapshot's manifest beside those of its records, read back and verified."""
     path = fresh_path(spark, "snapshot")
@@ -345,7 +362,7 @@ def crossref_answers(spark, d):
 _PLAIN_SQL = "trim(regexp_replace(regexp_replace(title, '\\p{Cc}', ' ', 'g'), '\\s+', ' ', 'g'))"
 _Q = (
     venueid_classes, venue_string_classes, listing_tracks, presentations, attributions, abstract_credit, window_kinds, entry_matches, sampled_ids, engine_disagreement, followed_merges,
-    takedown_problems, split_names, query_dates, native_names, postings_search, index_ranks, index_parity, token_streams, count_value, query_costs, snapshot_round_trip,
+    takedown_problems, split_names, query_dates, native_names, postings_search, index_ranks, index_parity, token_streams, count_value, query_costs, query_clauses, query_words, snapshot_round_trip,
     openreview_v2_notes, openreview_v1_notes, proceedings_listing, paper_pages, dblp_release, oai_answers, crossref_answers,
 )
 
@@ -384,6 +401,10 @@ SELECT doc_id, CASE WHEN doc_id % 8 = 7 THEN '' WHEN doc_id % 4 = 2 THEN concat_
         "token_streams": f"{W}, s AS (SELECT id, 'title' AS field, tok_title AS t FROM papers UNION ALL SELECT id, 'abstract', tok_abstract FROM papers) SELECT id, field, len(t) AS n, t[1] AS first, t[-1] AS last FROM s WHERE len(t) > 0",
         "count_value": f"{W} SELECT v AS value, (SELECT count(*) FROM corpus WHERE venue = v AND {_THE_KNOWN}) AS n FROM (VALUES ('EN'), ('FR'), ('XX')) t(v)",
         "query_costs": "SELECT * FROM (VALUES ('flagship', 0, 4, 6), ('phrase', 0, 2, 2), ('near', 0, 2, 2), ('near_self', 1, 2, 2), ('near_phrase', 1, 3, 3), ('and_or_not', 0, 7, 16), ('filter_venue', 0, 2, 2)) t(name, verified, terms, counting)",
+        "query_clauses": """SELECT n AS name, f AS field, coalesce(e, true) AS editable, r AS reason, coalesce(s, '') AS shown FROM (VALUES ('flagship'), ('phrase_wildcard'), ('filter_venue'), ('filter_track_default')) a(n) CROSS JOIN (VALUES ('venue'), ('year'), ('track'), ('status'), ('abstract_kind')) b(f)
+LEFT JOIN (VALUES ('flagship', 'year', true, NULL, '2013..2020'), ('phrase_wildcard', 'track', false, 'nested', NULL), ('phrase_wildcard', 'status', false, 'nested', NULL), ('filter_venue', 'venue', true, NULL, 'EN,FR'), ('filter_track_default', 'track', true, NULL, 'main'),
+('filter_venue', 'track', true, NULL, 'competition,datasets_benchmarks,main,position,unknown,workshop'), ('filter_venue', 'status', true, NULL, 'accepted,desk_rejected,rejected,unknown')) c(n2, f2, e, r, s) ON n2 = n AND f2 = f""",
+        "query_words": """SELECT * FROM (VALUES ('models', 'models$ the ai 2020 "trust" risk', NULL), ('the', 'models the$ ai 2020 "trust" risk', NULL), ('ai', NULL, 'too_short'), ('2020', NULL, 'number'), ('trust', NULL, 'in_phrase'), ('risk', 'models the ai 2020 "trust" risk$', NULL)) t(token, edit, reason)""",
         "snapshot_round_trip": f"{W} SELECT venue, year, track, status, count(*) AS stated, count(*) AS n, count(abstract) AS with_abstract FROM papers WHERE title <> '' GROUP BY ALL",
         "openreview_v2_notes": rf"""{W}, x AS (SELECT *, CAST(2019 + doc_id % 7 AS INTEGER) AS y, doc_id % 3 AS k FROM papers)
 SELECT id, {_PLAIN_SQL} AS title, sha256(trim(regexp_replace(regexp_replace(abstract, '\p{{Cc}}', ' ', 'g'), '\s+', ' ', 'g'))) AS abstract, 'A B;' || source AS authors, CASE WHEN k = 2 THEN 'workshop' ELSE 'main' END AS track, CASE WHEN y IN (2021, 2022) THEN 'unknown' WHEN k = 1 THEN 'rejected' ELSE 'accepted' END AS status, y AS year, CASE WHEN k = 0 AND y >= 2023 AND doc_id % 2 = 0 THEN 'oral' END AS presentation FROM x""",
