@@ -9,6 +9,8 @@ links of a spanning forest leave the group, never all its pairs.
 Defined results:
 - null or word-less text: fingerprint zero, linked like any other;
 - null id: the row keeps its fingerprint, takes no part in linking and has a null component;
+- very long texts: every shingle counts, in time proportional to the text;
+- ties: a bit set in exactly half the hashes is 0; the smallest id names a component, and of equal ids in ``keep_first`` the smallest hash of the text stays;
 - repeated rows: each is returned, with the same fingerprint and component;
 - empty table: empty result;
 - other columns of the input are not read, so clashing names do no harm.

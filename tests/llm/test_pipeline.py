@@ -35,3 +35,25 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Nulls in every column, repeated rows, shared ids and columns named like the stages' own come through each stage."""
+    from pyspark.sql import functions as F
+
+    text = "the quick brown fox jumps over the lazy dog and runs into the green wood again " * 6
+    rows = [(1, text + "one", "en", "a", 1), (1, text + "one", "en", "a", 1), (1, "der schnelle braune fuchs springt heute wieder", "de", "a", 1), (None, "les eaux sont belles et claires ici", "fr", None, None), (None, None, None, None, None), (5, None, "en", "b", 1), (6, "", "en", "b", 1)]
+    rows += [(10 + i, f"{w} " * 40, "en", "b", 1) for i, w in enumerate(("alpha beta", "gamma delta", "epsilon zeta"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clashing = ("id", "row", "mark", "hash", "size", "copies", "copy_no", "blob", "found", "judged", "component", "k_id", "spans", "bad_id")
+    for name in clashing:
+        docs = docs.withColumn(name, F.lit("clash"))
+    spark.createDataFrame([(None, None), (1, "a b")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns[: len(columns)] == columns
+        found = docs.collect()
+        assert found and all(r[c] == "clash" for r in found for c in clashing)
+        assert all(r["text"] is not None for r in found)
+    assert docs.columns[-1] == "copy_no_1"
