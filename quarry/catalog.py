@@ -16,7 +16,7 @@ from quarry.operators.search import Index
 from quarry.plans.diagnose import cost_of_counting, terms_read, verified_clauses
 from quarry.plans.edit import filter_clauses, word_forms
 from quarry.queries import ALL, SEARCHES, VALUES, VOCAB, W, index, tree
-from quarry.session import fresh_path
+from quarry.session import fresh_path, materialize
 from quarry.sources import crawled, snapshots
 
 # -- classification ------------------------------------------------------------------------------------------
@@ -207,7 +207,7 @@ _POSTED: dict[tuple[str, str], Index] = {}
 def posted(spark, d) -> Index:
     key = (spark.sparkContext.applicationId, d)
     if key not in _POSTED:
-        _POSTED[key] = Index.build(papers(spark, d), VALUES, with_postings=True)
+        _POSTED[key] = Index.build(materialize(papers(spark, d), "papers"), VALUES, with_postings=True)
     return _POSTED[key]
 
 

@@ -17,6 +17,7 @@ from quarry.operators.highlight import highlight
 from quarry.operators.search import Index
 from quarry.plans.ast import Wildcard
 from quarry.plans.parse import parse
+from quarry.session import materialize
 from quarry.sources import export
 
 VALUES = Vocabulary(venues=("EN", "FR", "DE", "ES"))
@@ -49,7 +50,7 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     """The index of a data folder, built once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = Index.build(papers(spark, sf_dir), VALUES)
+        _INDEXES[key] = Index.build(materialize(papers(spark, sf_dir), "papers"), VALUES)  # the derivation is evaluated once
     return _INDEXES[key]
 
 
