@@ -17,7 +17,7 @@ from quarry.plans.diagnose import cost_of_counting, terms_read, verified_clauses
 from quarry.plans.edit import filter_clauses, word_forms
 from quarry.queries import ALL, SEARCHES, VALUES, VOCAB, W, index, tree
 from quarry.session import fresh_path, materialize
-from quarry.sources import crawled, snapshots
+from quarry.sources import cache, crawled, snapshots
 
 # -- classification ------------------------------------------------------------------------------------------
 ORGS = ("NeurIPS", "ICLR", "ICML", "AAAI")
@@ -312,6 +312,18 @@ def _notes(spark, d, v2: bool) -> str:
     return path
 
 
+def cached_pages(spark, d):
+    """Pages of several visits, some failed and one entry damaged: the newest good answer of every address, else the newest."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").withColumn("url", F.concat(F.lit("https://a.example/"), (F.col("page_id") % 60).cast("string")))
+    path = fresh_path(spark, "cache")
+    fetched = pages.select("url", F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("fetched_at"), F.col("html").alias("body"))
+    cache.add(fetched, path)
+    held = cache.read(spark, path).withColumn("body", F.when(F.unix_timestamp("fetched_at") % 11 == 0, "damaged").otherwise(F.col("body")))
+    asked = spark.range(70).select(F.concat(F.lit("https://a.example/"), F.col("id").cast("string")).alias("url"))
+    found = cache.lookup(asked, held).select("url", "status", F.unix_timestamp("fetched_at").alias("at"))
+    return found.unionByName(cache.misses(asked, held).join(found, "url", "left_anti").select("url", F.lit(None).cast("int").alias("status"), F.lit(None).cast("long").alias("at")))
+
+
 def openreview_v2_notes(spark, d):
     found = crawled.openreview_v2(spark, _notes(spark, d, True))
     return found.select(F.col("forum_id").alias("id"), "title", F.sha2("abstract", 256).alias("abstract"), F.array_join("authors", ";").alias("authors"), "track", "status", "year", "presentation")
@@ -363,7 +375,7 @@ _PLAIN_SQL = "trim(regexp_replace(regexp_replace(title, '\\p{Cc}', ' ', 'g'), '\
 _Q = (
     venueid_classes, venue_string_classes, listing_tracks, presentations, attributions, abstract_credit, window_kinds, entry_matches, sampled_ids, engine_disagreement, followed_merges,
     takedown_problems, split_names, query_dates, native_names, postings_search, index_ranks, index_parity, token_streams, count_value, query_costs, query_clauses, query_words, snapshot_round_trip,
-    openreview_v2_notes, openreview_v1_notes, proceedings_listing, paper_pages, dblp_release, oai_answers, crossref_answers,
+    cached_pages, openreview_v2_notes, openreview_v1_notes, proceedings_listing, paper_pages, dblp_release, oai_answers, crossref_answers,
 )
 
 
@@ -406,6 +418,9 @@ LEFT JOIN (VALUES ('flagship', 'year', true, NULL, '2013..2020'), ('phrase_wildc
 ('filter_venue', 'track', true, NULL, 'competition,datasets_benchmarks,main,position,unknown,workshop'), ('filter_venue', 'status', true, NULL, 'accepted,desk_rejected,rejected,unknown')) c(n2, f2, e, r, s) ON n2 = n AND f2 = f""",
         "query_words": """SELECT * FROM (VALUES ('models', 'models$ the ai 2020 "trust" risk', NULL), ('the', 'models the$ ai 2020 "trust" risk', NULL), ('ai', NULL, 'too_short'), ('2020', NULL, 'number'), ('trust', NULL, 'in_phrase'), ('risk', 'models the ai 2020 "trust" risk$', NULL)) t(token, edit, reason)""",
         "snapshot_round_trip": f"{W} SELECT venue, year, track, status, count(*) AS stated, count(*) AS n, count(abstract) AS with_abstract FROM papers WHERE title <> '' GROUP BY ALL",
+        "cached_pages": """WITH v AS (SELECT 'https://a.example/' || CAST(page_id % 60 AS VARCHAR) AS url, CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END AS status, 1700000000 + page_id AS seen FROM pages),
+b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY status, seen DESC) AS n FROM v WHERE seen % 11 <> 0), u AS (SELECT 'https://a.example/' || CAST(range AS VARCHAR) AS url FROM range(70))
+SELECT u.url, status, seen AS at FROM u LEFT JOIN b ON b.url = u.url AND n = 1""",
         "openreview_v2_notes": rf"""{W}, x AS (SELECT *, CAST(2019 + doc_id % 7 AS INTEGER) AS y, doc_id % 3 AS k FROM papers)
 SELECT id, {_PLAIN_SQL} AS title, sha256(trim(regexp_replace(regexp_replace(abstract, '\p{{Cc}}', ' ', 'g'), '\s+', ' ', 'g'))) AS abstract, 'A B;' || source AS authors, CASE WHEN k = 2 THEN 'workshop' ELSE 'main' END AS track, CASE WHEN y IN (2021, 2022) THEN 'unknown' WHEN k = 1 THEN 'rejected' ELSE 'accepted' END AS status, y AS year, CASE WHEN k = 0 AND y >= 2023 AND doc_id % 2 = 0 THEN 'oral' END AS presentation FROM x""",
         "openreview_v1_notes": f"""{W}, x AS (SELECT *, CAST(2019 + doc_id % 7 AS INTEGER) AS y FROM papers)

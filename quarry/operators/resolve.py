@@ -178,7 +178,11 @@ def merge(records: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFra
     keyed = records.withColumn("title_key", title_key(F.col("title"))).withColumn("abstract_key", abstract_key(F.col("abstract")))
     keyed = materialize(keyed.withColumn("crawled", F.coalesce(crawled, F.lit(False))).withColumn("creative", F.coalesce(creative, F.lit(False))), "er")
     member = keyed.select("id", F.col("id").alias("cluster")).distinct()
-    merges = clusters = None
+    # The same id again is the same record: a row per extra copy.
+    copies = keyed.groupBy("id").agg(F.count("*").alias("n"), F.max(F.size("forum_ids") > 0).alias("forum")).where("n > 1")
+    again = F.explode(F.sequence(F.lit(2).cast("long"), "n"))
+    merges = copies.select("id", "forum", again.alias("copy")).select(F.col("id").alias("survivor_id"), F.col("id").alias("merged_id"), F.when(F.col("forum"), "forum_id").otherwise("native_id").alias("rule"))
+    clusters = None
     for _ in range(max_rounds):
         moved = False
         for rule in RULES:
@@ -195,7 +199,7 @@ def merge(records: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFra
             if moving.isEmpty():
                 continue
             rows = moving.select(F.col("survivor").alias("survivor_id"), F.col("node").alias("merged_id"), F.lit(rule).alias("rule"))
-            merges = rows if merges is None else merges.unionByName(rows)
+            merges = merges.unionByName(rows)
             moved_on = member.join(moving.withColumnRenamed("node", "cluster"), "cluster", "left")
             member = materialize(moved_on.select("id", F.coalesce("survivor", "cluster").alias("cluster")), "member", replaces=member)
             moved = True
@@ -212,13 +216,12 @@ def merge(records: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFra
         rows = parts.select(*_KEY, "cluster").join(judged, list(_KEY)).where("cluster <> first")
         rows = rows.select(F.lit(rule).alias("rule"), *_KEY, F.col("first").alias("id_a"), F.col("cluster").alias("id_b"), resolution.alias("resolution"), "refusal")
         refused = rows if refused is None else refused.unionByName(rows)
-    spark = records.sparkSession
-    merges = merges if merges is not None else spark.createDataFrame([], "survivor_id string, merged_id string, rule string")
     return member, merges, refused
 
 
 def follow_merges(ids: DataFrame, merges: DataFrame) -> DataFrame:
     """(id, survivor_id): the record that each id ended in, over merges of merges; its own where none took it."""
+    merges = merges.where("survivor_id <> merged_id")
     if merges.isEmpty():
         return ids.select("id", F.col("id").alias("survivor_id")).distinct()
     groups = connected_components(merges.select(F.col("survivor_id").alias("src"), F.col("merged_id").alias("dst")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quarry.operators.ranking import global_rank
+
 #: Column order of the CSV export, and what a spreadsheet would run.
 CSV_COLUMNS = ("id", "title", "abstract", "venue", "year", "track", "status", "abstract_kind")
 FORMULA = r"^[=+\-@\t\r]"
@@ -41,8 +43,9 @@ def bibtex_keys(records: DataFrame) -> DataFrame:
     """(id, bib_key): venue, year and first title word; repeats get a, b, … in id order, aa after z."""
     word = F.regexp_extract(F.lower("title"), "([a-z0-9]+)", 1)
     base = F.concat(F.lower("venue"), F.col("year").cast("string"), F.when(word != "", word).otherwise("untitled"))
-    by = Window.partitionBy("base")
-    keyed = records.select("id", base.alias("base")).withColumn("n", F.row_number().over(by.orderBy("id")) - 1).withColumn("many", F.count("*").over(by))
+    numbered = global_rank(records.select("id", base.alias("base")), ["base", "id"], "at")  # no task holds all records of one base
+    firsts = numbered.groupBy("base").agg(F.min("at").alias("first"), F.count("*").alias("many"))
+    keyed = numbered.join(firsts, "base", "left").withColumn("n", F.col("at") - F.col("first"))
     letter = lambda i: F.expr(f"char(97 + cast({i} as int))")
     suffix = F.when(F.col("n") < 26, letter("n")).otherwise(F.concat(letter("floor(n / 26) - 1"), letter("n % 26")))
     return keyed.select("id", F.when(F.col("many") > 1, F.concat("base", suffix)).otherwise(F.col("base")).alias("bib_key"))

@@ -99,6 +99,12 @@ def test_survivor_has_the_forum_id(spark):
     assert {tuple(r) for r in resolve.follow_merges(ids, chain).collect()} == {("a", "a"), ("b", "a"), ("c", "a"), ("z", "z")}
 
 
+def test_the_same_id_again(spark):
+    paper = lambda i, source, forum=(): (i, "ICLR", 2020, f"Title {i}", None, "main", "accepted", [source], list(forum), [])
+    groups, _, merges = merged(spark, [paper("a", "dblp"), paper("a", "pmlr"), paper("a", "ojs"), paper("b", "openreview_v2", ["F"]), paper("b", "ris", ["F"]), paper("c", "dblp")])
+    assert groups == {} and sorted(tuple(r) for r in merges.collect()) == [("a", "a", "native_id"), ("a", "a", "native_id"), ("b", "b", "forum_id")]
+
+
 def test_a_title_of_very_many_records(spark):
     """Groups are decided from sums and extremes; a title that thousands share is refused without gathering them."""
     rows = [(f"r{i:05}", "ICLR", 2020, "Introduction", None, "main", "accepted", ["dblp"], [], []) for i in range(3000)]
