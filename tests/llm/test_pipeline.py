@@ -57,3 +57,77 @@ def test_odd_rows_and_clashing_columns(spark, tmp_path):
         assert found and all(r[c] == "clash" for r in found for c in clashing)
         assert all(r["text"] is not None for r in found)
     assert docs.columns[-1] == "copy_no_1"
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    """Each stage's output against a plain version of its rule on its own input; language against the network itself."""
+    import random
+
+    from quarry.llm import langid, simhash
+    from tests.llm.test_decontamination import brute as benchmark_hits
+    from tests.llm.test_mixing import brute_targets
+    from tests.llm.test_secrets import brute as secret_spans
+
+    rng = random.Random(8)
+    parts = {"aa": ["ing", "the", "er", "tion"], "bb": ["eau", "oux", "ment", "et"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = []
+    for i in range(140):
+        lang = rng.choice(["aa", "bb"])
+        rows.append([i, text(lang, rng.randint(30, 120)), lang, rng.choice(["s0", "s1", "s2", "s2"]), 1])
+    leak = " ".join(f"q{i}" for i in range(20))
+    for i in range(140, 170):
+        base = rows[rng.randrange(100)][1]
+        kind = i % 5
+        rows.append([i, (base, base + " ing", base[:40] + " " + leak, base + " secret: abcdefghijklmnop1 end", "12 34 ...")[kind], None, rng.choice(["s0", "s1"]), 1])
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, leak), (2, "zz yy xx")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r for r in docs.collect()}
+        source_docs = docs
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
+        after = docs.collect()
+        kept = {r["doc_id"] for r in after}
+        seen[name] = len(before) - len(kept)
+        if name == "language":
+            net = langid.train(langid.sample(source_docs))
+            expected = set()
+            for i, r in before.items():
+                if any(map(str.isalpha, r["text"])):
+                    total = net.sums([r["text"].encode()])[0]
+                    expected |= {i} if total.max() / total.sum() >= 0.34 else set()
+            assert kept == expected
+        elif name == "near_dedup":
+            prints = {i: simhash.fingerprint(r["text"]) for i, r in before.items()}
+            component = {i: i for i in before}
+            for _ in before:
+                for a in before:
+                    for b in before:
+                        if (prints[a] ^ prints[b]).bit_count() <= 4:
+                            component[a] = component[b] = min(component[a], component[b])
+                if all(component[component[i]] == component[i] for i in before):
+                    break
+            assert kept == set(component.values())
+        elif name == "decontaminate":
+            assert kept == {i for i, r in before.items() if not benchmark_hits(r["text"], [(1, leak), (2, "zz yy xx")])[3]}
+        elif name == "secrets":
+            for r in after:
+                old, out, upto = before[r["doc_id"]]["text"], [], 0
+                for a, b, *_ in [(a, b) for a, _, b, _ in secret_spans(old)]:
+                    if a >= upto:
+                        out.append(old[upto:a])
+                    upto = max(upto, b)
+                assert r["text"] == "[SECRET]".join([*out, old[upto:]]) and r["n_chars"] == len(r["text"])
+        else:
+            size = lambda t: len(t.split())
+            sizes, taken = {}, {}
+            for r in before.values():
+                sizes[r["source"]] = sizes.get(r["source"], 0) + size(r["text"])
+            for r in after:
+                taken[r["source"]] = taken.get(r["source"], 0) + size(r["text"])
+                assert r["text"] == before[r["doc_id"]]["text"] and 1 <= r["copy_no"] <= 3
+            for s, target in brute_targets(sizes).items():
+                assert abs(taken[s] - target) <= 60, (s, taken[s], target)
+    assert seen["language"] >= 5 and seen["near_dedup"] >= 5 and seen["decontaminate"] >= 3
