@@ -51,7 +51,7 @@ EMBED = 10
 #: Bytes of a piece, of a run-up, and of what is run at once.
 PIECE = 8192
 RUN_UP = 512
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 TOLERANCE = 1e-4
 
 
