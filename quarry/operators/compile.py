@@ -155,8 +155,15 @@ def scored_terms(n: Node | None, expansions: dict[tuple[str, str], list[str]]) -
     return out
 
 
+def stored_length(size: Column) -> Column:
+    """A field's length as search libraries store it in one byte: exact to 40, then rounded down to four significant bits above 24."""
+    over = F.greatest(size - 24, F.lit(0))
+    spare = F.greatest(F.length(F.bin(over)) - 4, F.lit(0))
+    return F.when(size <= 40, size).otherwise(24 + (F.floor(over / F.pow(F.lit(2.0), spare)) * F.pow(F.lit(2.0), spare)).cast("int"))
+
+
 def bm25(n: Node | None, expansions: dict, df: dict[tuple[str, str], int], stats: dict[str, tuple[int, float]]) -> Column:
-    """The score column: field weight x BM25 of each scoring term, summed in tree order."""
+    """The score column: field weight x BM25 of each scoring term, summed in tree order; lengths as stored in one byte."""
     k1, b = BM25["k1"], BM25["b"]
     total = F.lit(0.0)
     for term, only in scored_terms(n, expansions):
@@ -168,7 +175,7 @@ def bm25(n: Node | None, expansions: dict, df: dict[tuple[str, str], int], stats
             idf = F.ln(F.lit(1 + (count - held + 0.5) / (held + 0.5)))
             tokens = F.col(f"tok_{field}")
             tf = _tf(tokens, term)
-            norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.size(tokens) / F.lit(mean))
+            norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * stored_length(F.size(tokens)) / F.lit(mean))
             total = total + F.lit(BM25[field]) * idf * tf * F.lit(k1 + 1) / (tf + norm)
     return total
 

@@ -491,8 +491,10 @@ def _bm25_sql() -> str:
         for f, weight in (("title", 2.0), ("abstract", 1.0)):
             tf = f"CAST(len(list_filter(tok_{f}, lambda x: x = '{t}')) AS DOUBLE)"
             df = f"(SELECT CAST(coalesce(max(df), 0) AS DOUBLE) FROM vocab WHERE field = '{f}' AND term = '{t}')"
+            n, over = f"len(tok_{f})", f"(len(tok_{f}) - 24)"
+            length = f"(CASE WHEN {n} <= 40 THEN {n} ELSE 24 + floor({over} / pow(2, floor(log2({over})) - 3)) * pow(2, floor(log2({over})) - 3) END)"
             idf = f"ln(1 + (n_docs - {df} + 0.5) / ({df} + 0.5))"
-            parts.append(f"{weight} * {idf} * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len(tok_{f}) / avg_{f}))")
+            parts.append(f"{weight} * {idf} * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * {length} / avg_{f}))")
     return f"""{W}, {VOCAB}, st AS (SELECT count(*) AS n_docs, avg(len(tok_title)) AS avg_title, avg(len(tok_abstract)) AS avg_abstract FROM corpus),
 scored AS (SELECT id, round({" + ".join(parts)}, 9) AS score FROM corpus, st WHERE {_held('the', 'la', 'und')} AND {_DEFAULT})
 SELECT id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, id LIMIT 50"""

@@ -218,3 +218,12 @@ def test_ids_hash(index, rows):
     ids = sorted(naive(rows, Term("trust")))
     assert index.ids_hash(Term("trust")).first()[0] == hashlib.sha256("\n".join(ids).encode()).hexdigest()
     assert index.ids_hash(Term("absent")).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_stored_lengths(spark):
+    from quarry.operators.compile import stored_length
+
+    # Lengths and what one byte keeps of them.
+    known = {0: 0, 1: 1, 24: 24, 39: 39, 40: 40, 41: 40, 42: 42, 43: 42, 55: 54, 56: 56, 59: 56, 60: 60, 87: 84, 88: 88, 95: 88, 100: 96, 120: 120, 1000: 984}
+    got = {r["n"]: r["s"] for r in spark.createDataFrame([(n,) for n in known], "n int").select("n", stored_length(F.col("n")).alias("s")).collect()}
+    assert got == known
