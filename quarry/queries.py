@@ -592,6 +592,12 @@ k AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS
 SELECT id, CASE WHEN many = 1 THEN base WHEN n < 26 THEN base || chr(CAST(97 + n AS INTEGER)) ELSE base || chr(CAST(96 + n // 26 AS INTEGER)) || chr(CAST(97 + n % 26 AS INTEGER)) END AS bib_key FROM k""",
         "ris_export": f"""{W}, f AS (SELECT *, trim(regexp_replace(title, '[\\r\\n]+', ' ', 'g')) AS ti, trim(regexp_replace(coalesce(abstract, ''), '[\\r\\n]+', ' ', 'g')) AS ab FROM corpus WHERE {ranked})
 SELECT id, concat_ws(chr(10), 'TY  - CONF', CASE WHEN ti <> '' THEN 'TI  - ' || ti END, CASE WHEN ab <> '' THEN 'AB  - ' || ab END, 'PY  - ' || CAST(year AS VARCHAR), 'T2  - ' || venue, 'ID  - ' || id, 'ER  - ') AS value FROM f""",
+        "highlights": _bm25_sql().rsplit("\nSELECT", 1)[0]
+        + """, top AS (SELECT id FROM scored ORDER BY scored.score DESC, id LIMIT 50),
+f AS (SELECT id, 'title' AS field, regexp_extract_all(title, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') AS p FROM papers JOIN top USING (id) UNION ALL SELECT id, 'abstract', regexp_extract_all(abstract, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+') FROM papers JOIN top USING (id) WHERE abstract IS NOT NULL),
+w AS (SELECT id, field, unnest(p) AS w, unnest(range(len(p))) AS i FROM f),
+r AS (SELECT id, field, w, CAST(sum(length(w)) OVER (PARTITION BY id, field ORDER BY i) AS BIGINT) AS stop FROM w)
+SELECT id, field, stop - length(w) AS start, stop FROM r WHERE lower(strip_accents(w)) IN ('the', 'la', 'und')""",
         "html_text": f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<![^>]*>', '', 'g'), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS h FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)</?({"|".join(sorted(T.BLOCKS))})([ /][^>]*)?>', ' ', 'g'), '</?[A-Za-z][^>]*>', '', 'g') AS h FROM a)
 SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS text FROM b""",
