@@ -324,12 +324,12 @@ def cached_pages(spark, d):
     return found.unionByName(cache.misses(asked, held).join(found, "url", "left_anti").select("url", F.lit(None).cast("int").alias("status"), F.lit(None).cast("long").alias("at")))
 
 
-def openreview_v2_notes(spark, d):
+def notes_v2(spark, d):
     found = crawled.openreview_v2(spark, _notes(spark, d, True))
     return found.select(F.col("forum_id").alias("id"), "title", F.sha2("abstract", 256).alias("abstract"), F.array_join("authors", ";").alias("authors"), "track", "status", "year", "presentation")
 
 
-def openreview_v1_notes(spark, d):
+def notes_v1(spark, d):
     found = crawled.openreview_v1(spark, _notes(spark, d, False))
     return found.select(F.col("forum_id").alias("id"), "title", F.array_join("authors", ";").alias("authors"), "authors_how", "track", "status", "year")
 
@@ -375,7 +375,7 @@ _PLAIN_SQL = "trim(regexp_replace(regexp_replace(title, '\\p{Cc}', ' ', 'g'), '\
 _Q = (
     venueid_classes, venue_string_classes, listing_tracks, presentations, attributions, abstract_credit, window_kinds, entry_matches, sampled_ids, engine_disagreement, followed_merges,
     takedown_problems, split_names, query_dates, native_names, postings_search, index_ranks, index_parity, token_streams, count_value, query_costs, query_clauses, query_words, snapshot_round_trip,
-    cached_pages, openreview_v2_notes, openreview_v1_notes, proceedings_listing, paper_pages, dblp_release, oai_answers, crossref_answers,
+    cached_pages, notes_v2, notes_v1, proceedings_listing, paper_pages, dblp_release, oai_answers, crossref_answers,
 )
 
 
@@ -421,9 +421,9 @@ LEFT JOIN (VALUES ('flagship', 'year', true, NULL, '2013..2020'), ('phrase_wildc
         "cached_pages": """WITH v AS (SELECT 'https://a.example/' || CAST(page_id % 60 AS VARCHAR) AS url, CASE WHEN page_id % 7 = 0 THEN 404 ELSE 200 END AS status, 1700000000 + page_id AS seen FROM pages),
 b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY status, seen DESC) AS n FROM v WHERE seen % 11 <> 0), u AS (SELECT 'https://a.example/' || CAST(range AS VARCHAR) AS url FROM range(70))
 SELECT u.url, status, seen AS at FROM u LEFT JOIN b ON b.url = u.url AND n = 1""",
-        "openreview_v2_notes": rf"""{W}, x AS (SELECT *, CAST(2019 + doc_id % 7 AS INTEGER) AS y, doc_id % 3 AS k FROM papers)
+        "notes_v2": rf"""{W}, x AS (SELECT *, CAST(2019 + doc_id % 7 AS INTEGER) AS y, doc_id % 3 AS k FROM papers)
 SELECT id, {_PLAIN_SQL} AS title, sha256(trim(regexp_replace(regexp_replace(abstract, '\p{{Cc}}', ' ', 'g'), '\s+', ' ', 'g'))) AS abstract, 'A B;' || source AS authors, CASE WHEN k = 2 THEN 'workshop' ELSE 'main' END AS track, CASE WHEN y IN (2021, 2022) THEN 'unknown' WHEN k = 1 THEN 'rejected' ELSE 'accepted' END AS status, y AS year, CASE WHEN k = 0 AND y >= 2023 AND doc_id % 2 = 0 THEN 'oral' END AS presentation FROM x""",
-        "openreview_v1_notes": f"""{W}, x AS (SELECT *, CAST(2019 + doc_id % 7 AS INTEGER) AS y FROM papers)
+        "notes_v1": f"""{W}, x AS (SELECT *, CAST(2019 + doc_id % 7 AS INTEGER) AS y FROM papers)
 SELECT id, {_PLAIN_SQL} AS title, 'A B;' || source AS authors, 'listed' AS authors_how, CASE WHEN doc_id % 3 = 2 THEN 'workshop' ELSE 'main' END AS track, CASE WHEN y IN (2021, 2022) AND doc_id % 2 = 1 THEN 'rejected' ELSE 'unknown' END AS status, y AS year FROM x""",
         "proceedings_listing": f"{W} SELECT 'https://proceedings.neurips.cc/paper/' || CAST(doc_id // 100 AS VARCHAR) AS page_url, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS at, 'https://proceedings.neurips.cc/paper_files/paper/2020/hash/' || md5(id) || '-Abstract.html' AS href, {_PLAIN_SQL} AS title, 'A B;' || source AS authors FROM papers",
         "paper_pages": rf"{W} SELECT id, nullif({_PLAIN_SQL}, '') AS title, 'A B' AS authors, sha256(trim(regexp_replace(regexp_replace(coalesce(abstract, ''), '\p{{Cc}}', ' ', 'g'), '\s+', ' ', 'g'))) AS abstract FROM papers",
