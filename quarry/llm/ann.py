@@ -85,8 +85,9 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, want: int) -> tuple[list[int], float]:
     """Cells in order of first[i] + second[j] until they hold ``want`` entries, and the sum reached. held[i, j] counts a cell's entries."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    one, two, many = first[a].tolist(), second[b].tolist(), held[np.ix_(a, b)].tolist()
+    one, two = first[a].tolist(), second[b].tolist()
     rows, columns, width = a.tolist(), b.tolist(), len(b)
+    many: list[list[int]] = []  # of each row reached, its cells' entries in the order of the columns
     heap = [(one[0] + two[0], 0, 0)]
     taken: list[int] = []
     total, reached = 0, 0.0
@@ -96,8 +97,10 @@ def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, want: int) ->
             heapq.heapreplace(heap, (one[i] + two[j + 1], i, j + 1))
         else:
             heapq.heappop(heap)
-        if j == 0 and i + 1 < len(rows):
-            heapq.heappush(heap, (one[i + 1] + two[0], i + 1, 0))
+        if j == 0:  # rows are reached one after the other
+            many.append(held[rows[i], b].tolist())
+            if i + 1 < len(rows):
+                heapq.heappush(heap, (one[i + 1] + two[0], i + 1, 0))
         n = many[i][j]
         if n:
             taken.append(rows[i] * width + columns[j])
@@ -185,8 +188,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     entries = materialize(few.mapInArrow(quantise, "v array<double>, ids array<struct<id:long,many:int>>, cell long"), "entries")
     held = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row per cell, at most MOST_CENTROIDS squared
-        held.flat[r["cell"]] = r["n"]
+    sizes = entries.groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # a row per cell, at most MOST_CENTROIDS squared (16 MB)
+    held.flat[np.asarray(sizes["cell"])] = np.asarray(sizes["n"])
     share = needed_share(entries, points[:CALIBRATION_QUERIES], books, held, top) if share is None else share
     tasks = spark.sparkContext.defaultParallelism
     part_rows = part_rows or int(min(max(total // (2 * tasks), PART_ROWS[0]), PART_ROWS[1]))
