@@ -16,7 +16,9 @@ from quarry.operators.snapshot import content_hash, crawl_windows, snapshot_coun
 
 #: Characters of a title and of an abstract. Entries of a list.
 MAX_TITLE, MAX_ABSTRACT = 1_000, 20_000
-MAX_ENTRIES = 5_000
+MAX_ENTRIES, MAX_ENTRY = 5_000, 2_000
+#: Characters of an identifier or link; a longer one names nothing.
+MAX_NAMES = {"doi": 1_000, "url": 2_048, "forum": 2_048, "proceedings": 2_048, "pdf": 2_048}
 
 
 class SnapshotMismatch(ValueError):
@@ -43,8 +45,15 @@ def capped(records: DataFrame) -> DataFrame:
             cuts.append(F.when(~F.col(f"_{name}").eqNullSafe(F.col(name)), F.lit(name)))
     lists = [name for name, kind in records.dtypes if kind.startswith("array<")]
     for name in lists:
-        out = out.withColumn(f"_{name}", cap_list(F.col(name), MAX_ENTRIES))
-        cuts.append(F.when(F.size(name) > MAX_ENTRIES, F.lit(name)))
+        texts = dict(records.dtypes)[name] == "array<string>"
+        short = cap_list(F.col(name), MAX_ENTRIES)
+        out = out.withColumn(f"_{name}", F.transform(short, lambda x: F.left(x, F.lit(MAX_ENTRY))) if texts else short)
+        long = F.exists(name, lambda x: F.char_length(x) > MAX_ENTRY) if texts else F.lit(False)
+        cuts.append(F.when((F.size(name) > MAX_ENTRIES) | long, F.lit(name)))
+    for name, most in MAX_NAMES.items():
+        if name in records.columns:
+            out = out.withColumn(f"_{name}", F.when(F.char_length(name) <= most, F.col(name)))
+            cuts.append(F.when(F.char_length(name) > most, F.lit(name)))
     out = out.withColumn("cuts", F.array_compact(F.array(*cuts)) if cuts else F.array().cast("array<string>"))
     return out.select(*[F.col(f"_{c}").alias(c) if f"_{c}" in out.columns else F.col(c) for c in records.columns], "cuts")
 

@@ -136,6 +136,27 @@ def test_bad_answers(spark, tmp_path):
         crawled.lookup_table(spark, str(tmp_path / "t.toml"), ("utc_offset",))
 
 
+@pytest.mark.parametrize(
+    ("site", "page", "expected"),
+    [
+        ("iclr_archive", "<ul><li><a href='http://arxiv.org/abs/1412.0001'>One paper</a><br><i>A B, C D</i></li><li>no link</li></ul>", ("http://arxiv.org/abs/1412.0001", "One paper", ["A B", "C D"])),
+        ("icml_site", "<div class=paper><p class=title>One paper</p><span class=authors>A B</span><a href='papers/1.html'>abstract</a></div>", ("https://x.org/papers/1.html", "One paper", ["A B"])),
+        ("aaai_archive", "<div class=paper><h5><a href='p1.php'>One paper</a></h5><p class=authors>A B, C</p></div>", ("https://x.org/p1.php", "One paper", ["A B", "C"])),
+        ("neurips_older", "<ul class=paper-list><li><a href='/paper/1-Abstract.html'>One paper</a> <i>A B</i></li></ul>", ("https://x.org/paper/1-Abstract.html", "One paper", ["A B"])),
+    ],
+)
+def test_markup_of_sites(site, page, expected):
+    found, unlinked = crawled.entries_of(page, "https://x.org/", crawled.LISTINGS[site])
+    assert [(e[0], e[1], e[2]) for e in found] == [expected] and unlinked == page.count("no link")
+
+
+def test_caps_of_names(spark):
+    rows = [("a", "T", ["k" * 3000, "s"], "10.1/" + "x" * 2000), ("b", "T", None, "10.1/x")]
+    got = {r["id"]: r for r in snapshots.capped(spark.createDataFrame(rows, "id string, title string, keywords array<string>, doi string")).collect()}
+    assert len(got["a"]["keywords"][0]) == 2000 and got["a"]["doi"] is None and got["a"]["cuts"] == ["keywords", "doi"]
+    assert got["b"]["doi"] == "10.1/x" and got["b"]["keywords"] is None and got["b"]["cuts"] == []
+
+
 RECORD = "id string, title string, abstract string, venue string, year int, track string, status string, source string, keywords array<string>"
 
 
@@ -174,6 +195,10 @@ def test_service(service, tmp_path):
         service.paper("none")
     assert service.export("trust", "jsonl").count("\n") == 5 and '"id":"p1"' in service.export("trust", "jsonl")
     assert service.freeze("trust", "native", str(tmp_path), "s")["total"] == 6 and service.reopen(str(tmp_path), "s")["status"] == "reproduced"
+    refs = service.index.corpus.sparkSession.createDataFrame([(1, "trust model1"), (2, "nothing known"), (3, "trust model0")], "ref_id int, title_key string")
+    refs = refs.select("ref_id", F.lit("ICLR").alias("venue"), F.when(F.col("ref_id") == 1, 2021).otherwise(2020).alias("year"), *[F.lit(None).cast("string").alias(c) for c in ("forum_id", "native_id", "doi")], "title_key")
+    compared = service.compare(refs, "trust")
+    assert compared["rules"] == {"title": 2, "unmatched": 1} and compared["sides"]["kept"] == 1 and compared["sides"]["dropped"] == 1
     assert service.meta()["records"] == 9 and service.healthz()["ok"] and service.coverage()[-1]["n"] == 9
 
 
