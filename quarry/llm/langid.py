@@ -51,7 +51,7 @@ EMBED = 10
 #: Bytes of a piece, of a run-up, and of what is run at once.
 PIECE = 8192
 RUN_UP = 512
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 TOLERANCE = 1e-4
 
 
@@ -141,8 +141,8 @@ class Network:
         np.add.at(g["emb"], ids, d_x * mask[:, :, None])
         return loss, g, {"f": both[:, -1, :HIDDEN], "b": both[:, 0, HIDDEN:]}
 
-    def sweep(self, ids: np.ndarray, sizes: np.ndarray, d: str, start: np.ndarray, logits: np.ndarray | None = None) -> np.ndarray:
-        """The end states (HIDDEN, n) of rows run from ``start``; ids: (t, n) bytes, sizes descending. Fills logits (t, labels, n)."""
+    def sweep(self, ids: np.ndarray, sizes: np.ndarray, d: str, start: np.ndarray, logits: np.ndarray | None = None, add: bool = False) -> np.ndarray:
+        """The end states (HIDDEN, n) of rows run from ``start``; ids: (t, n) bytes, sizes descending. Fills logits (t, labels, n), or adds to them."""
         half = np.repeat(np.float32([0.5, 0.5, 1]), HIDDEN)[:, None]  # a sigmoid is half of 1 + tanh of half its argument
         table = np.ascontiguousarray((self.table(d) * half).T)
         wh = self.w[d + "h"].T * np.float32(0.5)
@@ -166,7 +166,9 @@ class Network:
             c *= gates[:HIDDEN]
             c *= 0.5
             was += c
-            if logits is not None:
+            if add:
+                logits[i, :, :m] += out @ was
+            elif logits is not None:
                 logits[i, :, :m] = out @ was
         return h
 
@@ -245,10 +247,12 @@ class _Pieces:
             start[:, cut[by_size]] = self.net.sweep(*_columns([sides[i] for i in by_size]), d, zero)
         return start
 
-    def run(self, d: str) -> tuple[list[np.ndarray], np.ndarray]:
-        """Per group the logits (t, labels, n) of one direction, and the state after the first text."""
+    def run(self, d: str, onto: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Per group the logits (t, labels, n) of one direction, added to ``onto`` if given, and the state after the first text."""
         start, end = self._guess(d), np.zeros((HIDDEN, len(self.data)), np.float32)
-        logits = [np.zeros((len(ids), len(self.net.labels), len(who)), np.float32) for who, ids, _ in self.groups]
+        # Only what may be run anew needs an array of its own.
+        apart = [onto is None or bool((self.chain[d][who] >= 0).any()) for who, _, _ in self.groups]
+        logits = [np.zeros((len(ids), len(self.net.labels), len(who)), np.float32) if own else onto[g] for g, ((who, ids, _), own) in enumerate(zip(self.groups, apart))]
         due = np.ones(len(self.data), bool)
         while due.any():
             for g, (who, ids, sizes) in enumerate(self.groups):
@@ -257,20 +261,25 @@ class _Pieces:
                     continue
                 whole = len(at) == len(who)
                 part = logits[g] if whole else np.zeros((len(ids), len(self.net.labels), len(at)), np.float32)
-                end[:, who[at]] = self.net.sweep(ids if whole else ids[:, at], sizes[at], d, start[:, who[at]], part)
+                end[:, who[at]] = self.net.sweep(ids if whole else ids[:, at], sizes[at], d, start[:, who[at]], part, add=not apart[g])
                 if not whole:
                     logits[g][:, :, at] = part
             real = np.where(self.chain[d] >= 0, end[:, self.chain[d]], start)
             due = np.abs(real - start).max(axis=0) > TOLERANCE
             start[:, due] = real[:, due]
         self.last[d] = end[:, self.entry["b" if d == "f" else "f"][0]]
+        if onto is not None:
+            for g, own in enumerate(apart):
+                if own:
+                    onto[g] += logits[g]
+                    logits[g] = onto[g]
         return logits, self.last[d]
 
     def sums(self) -> np.ndarray:
         total = np.zeros((self.count, len(self.net.labels)))
-        first, second = self.run("f")[0], self.run("b")[0]
-        for (who, ids, sizes), p, other in zip(self.groups, first, second):
-            p += other
+        logits = self.run("f")[0]
+        self.run("b", logits)
+        for (who, ids, sizes), p in zip(self.groups, logits):
             p += self.net.w["bias"][:, None]
             p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
