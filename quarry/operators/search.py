@@ -223,8 +223,8 @@ class Index:
             outside = ~F.col(f).isin(list(DEFAULT_VALUES[f]))
             bucket, value = F.when(outside, F.lit(f)).otherwise(bucket), F.when(outside, F.col(f)).otherwise(value)
         removed = cube.select(bucket.alias("field"), value.alias("value"), "n").where("field is not null").groupBy("field", "value").agg(F.sum("n").alias("n"))
-        spark = cube.sparkSession
-        always = spark.createDataFrame([(f, "unknown", 0) for f in found.defaults] or [("track", "unknown", 0)], "field string, value string, n long")
+        listed = [F.struct(F.lit(f).alias("field"), F.lit("unknown").alias("value"), F.lit(0).cast("long").alias("n")) for f in found.defaults or ("track",)]
+        always = cube.sparkSession.range(1).select(F.inline(F.array(*listed)))
         shaped = removed.unionByName(always).coalesce(1).groupBy("field", "value").agg(F.sum("n").alias("n"))
         return shaped.orderBy("field", F.col("value") == "unknown", F.desc("n"), "value")
 
