@@ -412,7 +412,7 @@ SELECT doc_id, CASE WHEN doc_id % 8 = 7 THEN '' WHEN doc_id % 4 = 2 THEN concat_
         "index_parity": f"{W}, {VOCAB} SELECT field, term, df + 1 AS df, df AS recount FROM vocab WHERE starts_with(term, 'th')",
         "token_streams": f"{W}, s AS (SELECT id, 'title' AS field, tok_title AS t FROM papers UNION ALL SELECT id, 'abstract', tok_abstract FROM papers) SELECT id, field, len(t) AS n, t[1] AS first, t[-1] AS last FROM s WHERE len(t) > 0",
         "count_value": f"{W} SELECT v AS value, (SELECT count(*) FROM corpus WHERE venue = v AND {_THE_KNOWN}) AS n FROM (VALUES ('EN'), ('FR'), ('XX')) t(v)",
-        "query_costs": "SELECT * FROM (VALUES ('flagship', 0, 4, 6), ('phrase', 0, 2, 2), ('near', 0, 2, 2), ('near_self', 1, 2, 2), ('near_phrase', 1, 3, 3), ('and_or_not', 0, 7, 16), ('filter_venue', 0, 2, 2)) t(name, verified, terms, counting)",
+        "query_costs": "SELECT name, CAST(verified AS BIGINT) AS verified, CAST(terms AS BIGINT) AS terms, CAST(counting AS BIGINT) AS counting FROM (VALUES ('flagship', 0, 4, 6), ('phrase', 0, 2, 2), ('near', 0, 2, 2), ('near_self', 1, 2, 2), ('near_phrase', 1, 3, 3), ('and_or_not', 0, 7, 16), ('filter_venue', 0, 2, 2)) t(name, verified, terms, counting)",
         "query_clauses": """SELECT n AS name, f AS field, coalesce(e, true) AS editable, r AS reason, coalesce(s, '') AS shown FROM (VALUES ('flagship'), ('phrase_wildcard'), ('filter_venue'), ('filter_track_default')) a(n) CROSS JOIN (VALUES ('venue'), ('year'), ('track'), ('status'), ('abstract_kind')) b(f)
 LEFT JOIN (VALUES ('flagship', 'year', true, NULL, '2013..2020'), ('phrase_wildcard', 'track', false, 'nested', NULL), ('phrase_wildcard', 'status', false, 'nested', NULL), ('filter_venue', 'venue', true, NULL, 'EN,FR'), ('filter_track_default', 'track', true, NULL, 'main'),
 ('filter_venue', 'track', true, NULL, 'competition,datasets_benchmarks,main,position,unknown,workshop'), ('filter_venue', 'status', true, NULL, 'accepted,desk_rejected,rejected,unknown')) c(n2, f2, e, r, s) ON n2 = n AND f2 = f""",
@@ -429,5 +429,5 @@ SELECT id, {_PLAIN_SQL} AS title, 'A B;' || source AS authors, 'listed' AS autho
         "paper_pages": rf"{W} SELECT id, nullif({_PLAIN_SQL}, '') AS title, 'A B' AS authors, sha256(trim(regexp_replace(regexp_replace(coalesce(abstract, ''), '\p{{Cc}}', ' ', 'g'), '\s+', ' ', 'g'))) AS abstract FROM papers",
         "dblp_release": f"{W} SELECT 'conf/icml/' || id AS key, '2024-01-02' AS mdate, {_PLAIN_SQL} AS title, 'Müller;' || source AS authors, year, '1-9' AS pages FROM papers WHERE doc_id % 3 = 0",
         "oai_answers": f"{W} SELECT doc_id AS article, doc_id % 9 = 0 AS deleted, CASE WHEN doc_id % 9 <> 0 THEN nullif({_PLAIN_SQL}, '') END AS title, CASE WHEN doc_id % 9 <> 0 THEN '10.1609/x.v' || CAST(doc_id AS VARCHAR) END AS doi, CAST(CASE WHEN doc_id % 9 <> 0 THEN 34 END AS BIGINT) AS volume, CAST(CASE WHEN doc_id % 9 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS creators FROM papers",
-        "crossref_answers": f"{W} SELECT '10.1/' || id AS doi, {_PLAIN_SQL} || CASE WHEN doc_id % 2 = 0 THEN ': part two' ELSE '' END AS title, 'Ada ' || source AS authors, 1 AS unnamed, '1-9' AS page FROM papers WHERE NOT contains(title, '<')",
+        "crossref_answers": f"{W} SELECT '10.1/' || id AS doi, {_PLAIN_SQL} || CASE WHEN doc_id % 2 = 0 THEN ': part two' ELSE '' END AS title, 'Ada ' || source AS authors, CAST(1 AS BIGINT) AS unnamed, '1-9' AS page FROM papers WHERE NOT contains(title, '<')",
     }
