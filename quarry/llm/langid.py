@@ -51,7 +51,7 @@ EMBED = 10
 #: Bytes of a piece, of a run-up, and of what is run at once.
 PIECE = 8192
 RUN_UP = 512
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 TOLERANCE = 1e-4
 
 
@@ -179,9 +179,12 @@ class Network:
     def sums(self, texts: list[bytes]) -> np.ndarray:
         """Sum of the position probabilities of each text (len(texts), labels)."""
         total = np.zeros((len(texts), len(self.labels)))
+        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         waiting: list[int] = []
         held = 0
-        for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+        at = 0
+        while at < len(order) and len(texts[order[at]]) > PIECE:
+            i, at = order[at], at + 1
             if len(texts[i]) > BLOCK:
                 total[i] = self._long(texts[i])
                 continue
@@ -192,8 +195,33 @@ class Network:
             held += len(texts[i])
         if waiting:
             total[waiting] = _Pieces(self, [texts[j] for j in waiting]).sums()
+        while at < len(order):  # texts of one piece, between a length and half of it, side by side
+            longest, start = max(1, len(texts[order[at]])), at
+            while at < len(order) and 2 * len(texts[order[at]]) >= longest and (at - start + 1) * longest <= 2 * BLOCK:
+                at += 1
+            at = max(at, start + 1)
+            total[order[start:at]] = self._side_by_side([texts[i] for i in order[start:at]])
         return total
 
+    def _side_by_side(self, texts: list[bytes]) -> np.ndarray:
+        """sums of texts of one piece each, longest first."""
+        ids, sizes = _columns(texts)
+        logits = np.zeros((len(ids), len(self.labels), len(texts)), np.float32)
+        zero = np.zeros((HIDDEN, len(texts)), np.float32)
+        self.sweep(ids, sizes, "f", zero, logits)
+        self.sweep(ids, sizes, "b", zero, logits, add=True)
+        return self.pooled(logits, sizes)
+
+    def pooled(self, logits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Sums over the positions of each row of the probabilities that logits (t, labels, n) give; logits are used up."""
+        live = np.arange(len(logits))[:, None] < sizes[None, :]
+        logits += self.w["bias"][:, None]
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        np.copyto(logits, 0, where=~live[:, None, :])
+        return logits.sum(axis=0, dtype=np.float64).T
+
     def _long(self, text: bytes) -> np.ndarray:
         """sums of one text of several blocks: backward for the states at its cuts, then forward block by block."""
         starts = range(0, len(text), BLOCK)
@@ -279,13 +307,8 @@ class _Pieces:
         total = np.zeros((self.count, len(self.net.labels)))
         logits = self.run("f")[0]
         self.run("b", logits)
-        for (who, ids, sizes), p in zip(self.groups, logits):
-            p += self.net.w["bias"][:, None]
-            p -= p.max(axis=1, keepdims=True)
-            np.exp(p, out=p)
-            p /= p.sum(axis=1, keepdims=True)
-            p *= (np.arange(len(ids))[:, None] < sizes[None, :])[:, None, :]
-            np.add.at(total, self.text[who], p.sum(axis=0, dtype=np.float64).T)
+        for (who, _, sizes), part in zip(self.groups, logits):
+            np.add.at(total, self.text[who], self.net.pooled(part, sizes))
         return total
 
 
