@@ -262,7 +262,8 @@ class Index:
                     first = False
             yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["ids_hash"])
 
-        return self.match(tree).select("id").orderBy("id").coalesce(1).mapInArrow(digest, "ids_hash string")
+        hashed = self.match(tree).select("id").orderBy("id").coalesce(1).mapInArrow(digest, "ids_hash string")
+        return hashed.agg(F.coalesce(F.max("ids_hash"), F.sha2(F.lit(""), 256)).alias("ids_hash"))  # no partition, no row: nothing matched
 
     def explain(self, q: str, mode: str = "native") -> str:
         """The tree, its expansions and Spark's plan."""

@@ -69,7 +69,8 @@ def corpus_hash(records: DataFrame) -> str:
         yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["hash"])
 
     lines = records.select("id", F.concat_ws(" ", "id", "content_hash").alias("line")).orderBy("id").select("line")
-    return lines.coalesce(1).mapInArrow(digest, "hash string").first()[0]
+    found = lines.coalesce(1).mapInArrow(digest, "hash string").first()
+    return found[0] if found else hashlib.sha256().hexdigest()
 
 
 def write(records: DataFrame, path: str, extra: dict | None = None) -> dict:
