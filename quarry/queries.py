@@ -82,7 +82,7 @@ W = f"WITH {PAPERS} "
 
 
 def _search(q: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: index(spark, d).match(q).select("id", "venue", "year", "track", "status")
+    return lambda spark, d: index(spark, d).match(q, limit=None).select("id", "venue", "year", "track", "status")
 
 
 MIXED = "(the OR la OR der) (and OR et OR und) NOT abstract:of venue:(EN OR FR)"

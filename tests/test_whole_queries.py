@@ -3,7 +3,9 @@ import json
 
 import pytest
 
+import __spark_entry__
 from quarry import queries
+from quarry.operators.compile import TooManyExpansions
 from quarry.operators.corpus import papers
 
 
@@ -31,3 +33,28 @@ def test_every_row_has_a_content_hash(spark, folder):
 def test_inflections_cover_both_fields(spark, folder):
     rows = [(r["term"], r["stem"]) for r in queries.inflections(spark, folder).collect()]
     assert len(rows) == len(set(rows)) and {("lines", "line"), ("plain", "plain"), ("abstract", "abstract"), ("body", "body")} <= set(rows)
+
+
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """Documents in which over 200 words begin with one stem, each in one record."""
+    path = str(tmp_path_factory.mktemp("wide"))
+    texts = [f"{'of' if i % 2 else 'in'} lement{i:03} x\n{'la' if i % 3 else 'les'} eaux" for i in range(310)]
+    rows = [(i, t, ("en", "fr")[i % 2], "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(310) if i % 5 < 4], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def found(spark, folder, name: str) -> set[int]:
+    return {int(r["id"][4:]) for r in __spark_entry__.queries()[name](spark, folder).select("id").collect()}
+
+
+def by_default(i: int) -> bool:
+    return i % 10 in (1, 2, 5, 6, 7, 8, 9) and i % 5 < 4
+
+
+def test_phrase_wildcard_of_many_terms(spark, wide):
+    assert found(spark, wide, "phrase_wildcard") == {i for i in range(310) if by_default(i) and (i % 2 or i % 3 == 0)}
+    with pytest.raises(TooManyExpansions):  # the language's own limit stands
+        queries.index(spark, wide).match("lement*")
