@@ -11,7 +11,7 @@ from quarry.functions import text as T
 from quarry.functions.vocab import CONFERENCES, STATUS_SOURCES, TEXT_SOURCES, Vocabulary
 from quarry.operators import compare, resolve, snapshot
 from quarry.operators.components import connected_components
-from quarry.operators.compile import expand, predicate
+from quarry.operators.compile import all_expansions, predicate
 from quarry.operators.corpus import papers, postings
 from quarry.operators.highlight import highlight
 from quarry.operators.search import Index
@@ -90,8 +90,7 @@ RANKED = "the OR la OR und"
 
 
 def vocab_expand(spark, d):
-    found = expand(index(spark, d).vocab, tree("lement* OR whi*").effective)
-    return spark.createDataFrame([(s + o, t) for (s, o), ts in found.items() for t in ts], "wildcard string, term string")
+    return all_expansions(index(spark, d).vocab, tree("lement* OR whi*").effective)
 
 
 def match_total(spark, d):

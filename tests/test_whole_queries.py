@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 from quarry import queries
-from quarry.operators.compile import TooManyExpansions
+from quarry.operators.compile import TooManyExpansions, all_expansions
 from quarry.operators.corpus import papers
 
 
@@ -58,3 +58,9 @@ def test_phrase_wildcard_of_many_terms(spark, wide):
     assert found(spark, wide, "phrase_wildcard") == {i for i in range(310) if by_default(i) and (i % 2 or i % 3 == 0)}
     with pytest.raises(TooManyExpansions):  # the language's own limit stands
         queries.index(spark, wide).match("lement*")
+
+
+def test_vocab_expand_of_many_terms(spark, wide):
+    rows = [tuple(r) for r in __spark_entry__.queries()["vocab_expand"](spark, wide).select("wildcard", "term").collect()]
+    assert sorted(rows) == [("lement*", f"lement{i:03}") for i in range(310)]
+    assert all_expansions(queries.index(spark, wide).vocab, None).count() == 0
