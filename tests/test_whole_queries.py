@@ -77,3 +77,7 @@ def test_postings_search_of_many_terms(spark, wide, monkeypatch):
     assert held.count() == 310 and catalog.posted(spark, wide).candidates(Wildcard("lement", "*", "abstract")).count() == 0
     assert catalog.posted(spark, wide).candidates(queries.tree(catalog.RARE).effective) is not None
     assert found(spark, wide, "postings_search") == expected
+
+
+def test_wildcard_star_of_many_terms(spark, wide):
+    assert found(spark, wide, "wildcard_star") == set(range(310))
