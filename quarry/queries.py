@@ -14,7 +14,7 @@ from quarry.operators.components import connected_components
 from quarry.operators.compile import all_expansions, predicate
 from quarry.operators.corpus import papers, postings
 from quarry.operators.highlight import highlight
-from quarry.operators.search import Index
+from quarry.operators.search import CODEC, Index
 from quarry.plans.ast import Wildcard
 from quarry.plans.parse import parse
 from quarry.session import materialize
@@ -50,7 +50,8 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     """The index of a data folder, built once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        _INDEXES[key] = Index.build(materialize(papers(spark, sf_dir), "papers"), VALUES)  # the derivation is evaluated once
+        records = materialize(papers(spark, sf_dir), "papers", codec=CODEC)  # the derivation is evaluated once
+        _INDEXES[key] = Index.build(records, VALUES, replaces=records)
     return _INDEXES[key]
 
 

@@ -8,7 +8,9 @@ from quarry import catalog, queries
 from quarry.operators import search
 from quarry.operators.compile import TooManyExpansions, all_expansions
 from quarry.operators.corpus import papers
+from quarry.operators.search import Index
 from quarry.plans.ast import Wildcard
+from quarry.session import materialize
 
 
 @pytest.fixture(scope="module")
@@ -81,3 +83,13 @@ def test_postings_search_of_many_terms(spark, wide, monkeypatch):
 
 def test_wildcard_star_of_many_terms(spark, wide):
     assert found(spark, wide, "wildcard_star") == set(range(310))
+
+
+def test_an_index_keeps_no_second_copy_of_its_records(spark, wide):
+    from pathlib import Path
+
+    at = Path(queries.index(spark, wide).path.removeprefix("file://"))
+    assert {p.suffixes[-2] for p in (at / "corpus").glob("*.parquet")} == {".zstd"}
+    records = materialize(papers(spark, wide), "papers-once")
+    Index.build(records, queries.VALUES, replaces=records)
+    assert not list(at.parent.glob("papers-once-*"))
