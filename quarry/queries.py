@@ -50,7 +50,7 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     """The index of a data folder, built once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        records = materialize(papers(spark, sf_dir), "papers", codec=CODEC)  # the derivation is evaluated once
+        records = materialize(papers(spark, sf_dir, packed=True), "papers", codec=CODEC)  # the derivation is evaluated once
         _INDEXES[key] = Index.build(records, VALUES, replaces=records)
     return _INDEXES[key]
 

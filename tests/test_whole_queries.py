@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__
 from quarry import catalog, queries
-from quarry.operators import search
+from quarry.operators import corpus, search
 from quarry.operators.compile import TooManyExpansions, all_expansions
 from quarry.operators.corpus import papers
 from quarry.operators.search import Index
@@ -85,6 +85,43 @@ def test_wildcard_star_of_many_terms(spark, wide):
     assert found(spark, wide, "wildcard_star") == set(range(310))
 
 
+def test_labels_reach_the_texts_of_an_index_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """The same records as by a plain join, whatever the ids; labels that cannot be packed are joined plainly."""
+    ids = [-(2**63), -33, -32, -1, 0, 31, 32, 33, 95, 2**31, 2**63 - 1, None]
+    kinds = [(1, 0), (0, 0), (1, 1), (0, 1), (None, None), (0, None), None]
+
+    def data(name: str, extra: list) -> str:
+        path = f"{tmp_path}/{name}"
+        rows = [(i, f"title {i}\nabstract", "en", "s", 9) for i in ids]
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+        labels = [(i, *kinds[n % 7]) for n, i in enumerate(ids) if kinds[n % 7]]
+        spark.createDataFrame(labels + extra, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        return path
+
+    def same(path: str, packed: str) -> int:
+        frames = [papers(spark, path), papers(spark, path, packed=True)]
+        assert ("SortMergeJoin" not in plan_of(frames[1]), "SortMergeJoin" in plan_of(frames[0])) == (packed == "packed", True)
+        plain, found = (sorted(map(repr, f.collect())) for f in frames)
+        assert found == plain
+        return len(found)
+
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    once, twice = data("once", [(7, 1, 0)]), data("twice", [(31, 1, 1)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert same(once, "packed") == 12
+        assert same(twice, "plain") == 13  # two labels, two records
+        at, index_plans = str(tmp_path / "once"), []
+        monkeypatch.setattr(queries, "materialize", lambda df, *a, **k: index_plans.append(plan_of(df)) or materialize(df, *a, **k))
+        queries.index(spark, at)
+        assert len(index_plans) == 1 and "SortMergeJoin" not in index_plans[0]
+        monkeypatch.setattr(corpus, "BROADCAST_SPANS", 5)
+        assert same(once, "plain") == 12
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_an_index_keeps_no_second_copy_of_its_records(spark, wide):
     from pathlib import Path
 
